@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing
+from . import langid, mixing, toxicity
 from .common import documents
 from .fingerprints import fingerprints
 from .jaccard import near_duplicate_classes
@@ -24,6 +24,10 @@ def op2_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens_round_trip(documents(spark, sf_dir))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir))
 
@@ -33,6 +37,10 @@ def op7_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "n_chars", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"), "copies", "copy", "shuffle_key")
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(documents(spark, sf_dir))
+
+
 def op9_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir))
 
@@ -44,8 +52,10 @@ def op10_prefix_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_token_orc": op2_token_orc,
+    "op3_toxicity": op3_toxicity,
     "op6_token_counts": op6_token_counts,
     "op7_poisson_mix": op7_poisson_mix,
+    "op8_language_id": op8_language_id,
     "op9_curve_packing": op9_curve_packing,
     "op10_prefix_fingerprints": op10_prefix_fingerprints,
 }
