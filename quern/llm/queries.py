@@ -12,7 +12,9 @@ from .common import documents
 from .fingerprints import fingerprints
 from .jaccard import near_duplicate_classes
 from .orc_tokens import tokens_round_trip
+from .outliers import quality
 from .packing import pack
+from .secret_scan import secret_digest
 from .token_counts import token_counts
 
 
@@ -28,6 +30,14 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digest(documents(spark, sf_dir))
+
+
+def op5_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(documents(spark, sf_dir))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir))
 
@@ -53,6 +63,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_token_orc": op2_token_orc,
     "op3_toxicity": op3_toxicity,
+    "op4_secret_scan": op4_secret_scan,
+    "op5_robust_outliers": op5_robust_outliers,
     "op6_token_counts": op6_token_counts,
     "op7_poisson_mix": op7_poisson_mix,
     "op8_language_id": op8_language_id,
