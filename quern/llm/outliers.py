@@ -17,8 +17,8 @@ _GAP = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 #: Share of rows a concentration step keeps, number of steps, and the least rows of a group; smaller ones are taken together by language, then all.
 KEEP, STEPS, LEAST_ROWS = 0.75, 3, 50
-#: Squared distance of a chance in a million in four dimensions, and what the covariance of three quarters is short of that of all.
-CUTOFF, CONSISTENCY = 33.38, 1.86
+#: The 97.5 % point of chi-squared in four dimensions, and what the covariance of three quarters is short of that of all.
+CUTOFF, CONSISTENCY = 11.143, 1.86
 #: Statistics and the spread that each has at least: log mean word length, symbols a word, share of capitals, share of repeated lines.
 FLOORS = {"x1": 0.15, "x2": 0.5, "x3": 0.3, "x4": 0.6}
 _X = tuple(FLOORS)
