@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import mix, slices, with_id_hash
@@ -230,34 +231,57 @@ class _Scorer:
 _SCORERS: dict[object, _Scorer] = {}
 
 
+def predictor(spark: SparkSession, model: Model):
+    """A function of an Arrow text column: the predicted language and score of each text, for use on executors."""
+    shared = spark.sparkContext.broadcast(model)  # languages x pieces of the vocabulary
+    key = (spark.sparkContext.applicationId, uuid.uuid4().hex)
+
+    def predict_texts(column: pa.Array) -> tuple[pa.Array, pa.Array]:
+        if key not in _SCORERS:
+            _SCORERS.clear()
+            _SCORERS[key] = _Scorer(shared.value)
+        scorer, names = _SCORERS[key], np.array([*shared.value.languages, UNDETERMINED], object)
+        found, scores = [np.zeros(0, object)], [np.zeros(0)]
+        for a, b, _, _ in slices(column):
+            sums, counts, letter = scorer.score(column.slice(a, b - a).to_pylist())
+            if len(names) > 1:
+                sums = sums * np.minimum(1.0, INDEPENDENT / np.maximum(counts, 1))[:, None]
+                top = sums.argmax(1)
+                score = 1.0 / np.exp(sums - sums.max(1, keepdims=True)).sum(1)
+            else:
+                top, score, letter = np.zeros(len(counts), int), np.zeros(len(counts)), letter & False
+            found.append(names[np.where(letter, top, len(names) - 1)])
+            scores.append(np.where(letter, score, 0.0))
+        return pa.array(np.concatenate(found), pa.string()), pa.array(np.concatenate(scores))
+
+    return predict_texts
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred, score per row.
 
     Null text or none with a letter: `und` with score 0, as is every row if no language was learned. Score: posterior probability of the language, equal priors.
     Repeated rows: alike. Empty table: no rows. Only doc_id, to name the fold, and text are read."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x pieces of the vocabulary
-    key = (docs.sparkSession.sparkContext.applicationId, shared._path if hasattr(shared, "_path") else id(model))
+    texts = predictor(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[key] = _Scorer(shared.value)
-        scorer = _SCORERS[key]
-        names = np.array([*shared.value.languages, UNDETERMINED], object)
         for batch in batches:
-            for a, b, _, _ in slices(batch.column(1)):
-                sums, counts, letter = scorer.score(batch.column(1).slice(a, b - a).to_pylist())
-                if len(names) > 1:
-                    sums = sums * np.minimum(1.0, INDEPENDENT / np.maximum(counts, 1))[:, None]
-                    top = sums.argmax(1)
-                    score = 1.0 / np.exp(sums - sums.max(1, keepdims=True)).sum(1)
-                else:
-                    top, score, letter = np.zeros(len(counts), int), np.zeros(len(counts)), letter & False
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(names[np.where(letter, top, len(names) - 1)], pa.string()), pa.array(np.where(letter, score, 0.0))], ["doc_id", "held_out", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *texts(batch.column(1))], ["doc_id", "held_out", "lang_pred", "score"])
 
     rows = with_id_hash(docs.select("doc_id", "text"), FOLDS, "_h").select(F.col("doc_id").cast("long"), "text", (F.col("_h") == HELD_OUT).alias("held_out"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def recognised(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """The rows of docs, with all their columns, whose language is told with a score of `least` or more. Rows are judged where they are read: nothing is shuffled."""
+    texts = predictor(docs.sparkSession, model)
+
+    def keep(column: pa.Array) -> pa.Array:
+        lang, score = texts(column)
+        return pa.array((lang.to_numpy(zero_copy_only=False) != UNDETERMINED) & (score.to_numpy() >= least))
+
+    return docs.where(F.arrow_udf(keep, "boolean")("text"))
+
+
 def identify(docs: DataFrame) -> DataFrame:
     return predict(docs, fit(docs))

@@ -21,8 +21,9 @@ def vocabulary(name: str) -> str:
 #: What str.split() takes for white space beside space and U+0009 to U+000D: fixed values.
 _OTHER_SPACE = "\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 _SPLIT = re.compile(r"[\x20\x09-\x0D]+")
-#: Pieces that are one run of letters and at most one sign: each part of them ends with a token that ends a word.
-_PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?")
+#: Pieces that are one run of letters, and at most one sign: the run ends with a token that ends a word, and so does the sign.
+_LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]")
 
 
 def split(text: str) -> list[str]:
@@ -65,18 +66,29 @@ class WordEncoder:
         self.slots.update(zip(words, range(n, n + m), strict=True))
 
     def _learn(self, words: list[str]) -> None:
+        # a plain word with a sign after it has the word's ids and the sign's
+        signed = [w for w in words if w[-1] in ".," and _PLAIN.fullmatch(w)]
+        bare = [w[:-1] for w in signed] + list({w[-1] for w in signed})
+        self._learn_whole(list(dict.fromkeys(w for w in [*words, *bare] if w not in self.slots and not (w[-1] in ".," and len(w) > 1 and _PLAIN.fullmatch(w)))))
+        if signed:
+            two = np.array([[self.slots[w[:-1]], self.slots[w[-1]]] for w in signed]).reshape(-1)
+            size = self.size[two]
+            before = np.cumsum(size)
+            ids = self.flat[np.repeat(self.start[two] - before + size, size) + np.arange(before[-1])]
+            self._put(signed, ids, size.reshape(-1, 2).sum(1))
+
+    def _learn_whole(self, words: list[str]) -> None:
         plain, odd = [], []
         for w in words:
-            (plain if _PLAIN.fullmatch(w) else odd).append(w)
+            (plain if _LETTERS.fullmatch(w) else odd).append(w)
         for at in range(0, len(plain), 4096):
             some = plain[at : at + 4096]
             ids = np.array(self.library.encode(" ".join(some), add_special_tokens=False).ids, np.int32)
-            parts = np.array([1 + (w[-1] in ".,") for w in some])
             ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) != parts.sum():
+            if len(ends) != len(some):
                 odd += some
                 continue
-            self._put(some, ids, np.diff(ends[np.cumsum(parts) - 1], prepend=0))
+            self._put(some, ids, np.diff(ends, prepend=0))
         for at in range(0, len(odd), 4096):
             some = odd[at : at + 4096]
             got = [x.ids for x in self.library.encode_batch_fast(some, add_special_tokens=False)]
