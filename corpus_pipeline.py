@@ -18,12 +18,8 @@ LEAST_LANGUAGE_SCORE = 0.5
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose language is recognised. Rejected: null or letterless texts, and those with a posterior below LEAST_LANGUAGE_SCORE. lang stays as it was.
-
-    The verdict is joined by doc_id; rows that share an id are kept if one of them is, so only clean repeats stay."""
-    found = langid.predict(docs, langid.fit(docs))
-    rejected = found.where((F.col("lang_pred") == langid.UNDETERMINED) | (F.col("score") < LEAST_LANGUAGE_SCORE)).select("doc_id")
-    return docs.join(rejected, docs.doc_id.eqNullSafe(rejected.doc_id), "left_anti").select(*DOCUMENT_COLUMNS)
+    """Rows whose language is recognised. Rejected: null or letterless texts, and those with a posterior below LEAST_LANGUAGE_SCORE. lang stays as it was."""
+    return langid.recognised(docs, langid.fit(docs), LEAST_LANGUAGE_SCORE).select(*DOCUMENT_COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
