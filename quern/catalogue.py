@@ -1,10 +1,14 @@
-"""The catalogue of queries and their SQL."""
+"""The catalogue: every query by name, and the SQL of those that SQL expresses."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from pyspark.sql import DataFrame, SparkSession
 
+from .plans import relational
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+QUERIES = {**relational.QUERIES}
+ORACLES = {**relational.ORACLES}
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return QUERIES["counterparty_theta"](spark, sf_dir)
