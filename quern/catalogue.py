@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .plans import relational
+from .plans import binary, relational
 
-QUERIES = {**relational.QUERIES}
-ORACLES = {**relational.ORACLES}
+QUERIES = {**relational.QUERIES, **binary.QUERIES}
+ORACLES = {**relational.ORACLES, **binary.ORACLES}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["counterparty_theta"](spark, sf_dir)
+    """Log lines to decoded rows, summed by program."""
+    rows = binary.log_events_fast(spark, sf_dir)
+    return rows.groupBy("program_id").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("n_users"))

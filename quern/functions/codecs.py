@@ -224,10 +224,15 @@ def from_base58(text: Column | str) -> Column:
     return F.arrow_udf(_each(base58_decode, pa.binary()), "binary")(text)
 
 
+def to_base64(data: Column | str) -> Column:
+    """Without the line breaks that Spark's function puts after every 76 characters."""
+    return F.replace(F.base64(data), F.lit("\r\n"), F.lit(""))
+
+
 def from_base64(text: Column) -> Column:
     """Strict base64 without a UDF: unpadded or non-canonical text is null."""
     data = F.try_to_binary(text, F.lit("base64"))
-    return F.when((F.length(text) % 4 == 0) & (F.base64(data) == text), data)
+    return F.when((F.length(text) % 4 == 0) & (to_base64(data) == text), data)
 
 
 def to_varint(value: Column | str) -> Column:

@@ -98,16 +98,26 @@ def plausible_end(data, at: int, end: int) -> bool:
     return 0 < size <= SECTION_MOST and at + body < end and data[at + body] <= 1
 
 
+def _head(data, at: int, end: int) -> int | None:
+    """End of the section that starts here by its size, if that fits and a content id's first byte follows."""
+    try:
+        size, body = varint_decode(data[at : at + 10])
+    except Malformed:
+        return None
+    return at + body + size if 0 < size <= SECTION_MOST and at + body + size <= end and data[at + body] <= 1 else None
+
+
 def resume(data, at: int, end: int) -> int | None:
-    """The next place within SEARCH bytes where a section could start: a size that fits and a content id's first byte."""
+    """The next place within SEARCH bytes where a section could start. One that the end or a further section follows is believed before others,
+    as the tail of a damaged size and a sound one together can look like a size too."""
+    weak = None
     for place in range(at, min(end, at + SEARCH)):
-        try:
-            size, body = varint_decode(data[place : place + 10])
-        except Malformed:
+        if (after := _head(data, place, end)) is None:
             continue
-        if 0 < size <= SECTION_MOST and place + body + size <= end and data[place + body] <= 1:
+        if after == end or _head(data, after, end) is not None:
             return place
-    return None
+        weak = place if weak is None else weak
+    return weak
 
 
 def header_end(data) -> int:
