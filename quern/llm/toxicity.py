@@ -12,12 +12,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, slices, with_id_hash
+from .common import LOWER, cut, slices, with_id_hash
 from .tokens import split
 
 FOLDS, HELD_OUT, THRESHOLD = 3, 1, 0.7
 #: A unit of the lexicon was seen in so many different contexts of toxic rows, and so many times as often (at one standard error less) as in other rows; the rarest are left out beyond `UNITS`, the size of the classifier.
 CONTEXTS, RATIO, UNITS = 5, 25.0, 20_000
+#: Most labelled rows the classifier is fitted on.
+LABELLED = 50_000
+#: Names under which the numbers of rows travel with the units; no word has their sign.
+_TOXIC, _CLEAN = "\0toxic", "\0clean"
 #: Stems: how many first letters of longer words are units too.
 STEMS = (5, 6)
 #: Letters that a sign may stand for, with what the channel charges. Fixed values.
@@ -152,10 +156,12 @@ class _Scorer:
         return max([self.lexicon.weight(word), *(self.lexicon.weights.get(word[i:j], 0.0) for i in range(len(word)) for j in range(i + 4, min(len(word), i + 14) + 1))])
 
 
-def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    marks = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = with_id_hash(docs.select("doc_id", "text"), FOLDS, "_h").where((F.col("_h") != HELD_OUT) & F.col("text").isNotNull()).drop("_h")
-    return rows.join(with_id_hash(marks, FOLDS, "_h").where(F.col("_h") != HELD_OUT).drop("_h"), "doc_id").select("text", F.col("toxic").cast("int"))
+def _labelled(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
+    """(text, toxic) of at most `most` labelled rows outside the held-out fold, first by a hash of doc_id; their ids are few enough to be broadcast, so texts stay where they are read."""
+    marks = with_id_hash(labels.where("toxic is not null and doc_id is not null"), FOLDS, "_h").where(F.col("_h") != HELD_OUT).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull())
+    return rows.join(F.broadcast(marks), "doc_id").select("text", F.col("toxic").cast("int"))
 
 
 def char_model(docs: DataFrame, words: dict[str, float]) -> CharModel:
@@ -195,14 +201,15 @@ def char_model(docs: DataFrame, words: dict[str, float]) -> CharModel:
     return CharModel(np.log((cube + 5 * p2[None]) / (cube.sum(2, keepdims=True) + 5)))
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Lexicon:
-    """Learns the lexicon and its calibration from the labelled rows outside the held-out fold, and the character model from all texts.
+def fit(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> Lexicon:
+    """Learns the lexicon and its calibration from at most `most` labelled rows outside the held-out fold, and the character model from all texts.
 
     A unit counts by its different contexts (the words beside it), so that many copies of one toxic text don't make all its words toxic.
     No label: nothing is toxic."""
-    labelled = _labelled(docs, labels)
+    labelled = _labelled(docs, labels, most)
 
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: Counter = Counter()
         clean: Counter = Counter()
         contexts: set[tuple[str, int]] = set()
 
@@ -215,6 +222,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Lexicon:
 
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows[_TOXIC if toxic else _CLEAN] += 1
                 words = [w for p in split(text.lower()) if (w := trim(p)) and len(w) <= LONGEST]
                 if toxic:
                     around = ["", *words, ""]
@@ -227,15 +235,17 @@ def fit(docs: DataFrame, labels: DataFrame) -> Lexicon:
                     clean.update({u for w in seen for u in plain_units(w)})
             if len(clean) + len(contexts) > 1_500_000:
                 yield from out()
+        clean.update(rows)
         yield from out()
 
     found = labelled.mapInArrow(units, "unit string, context long, clean long")
     found = found.groupBy("unit", "context").agg(F.sum("clean").alias("clean")).groupBy("unit").agg(F.sum("clean").alias("clean"), F.count_if(F.col("context") != 0).alias("contexts"))
-    sizes = labelled.groupBy("toxic").count().collect()
-    n = {bool(r.toxic): r["count"] for r in sizes}
+    found = cut(found.where((F.col("contexts") >= CONTEXTS) | F.col("unit").isin(_TOXIC, _CLEAN)))
+    sizes = {r.unit: r.clean for r in found.where(F.col("unit").isin(_TOXIC, _CLEAN)).collect()}
+    n = {True: sizes.get(_TOXIC, 0), False: sizes.get(_CLEAN, 0)}
     # seen in toxic rows far oftener than the rows' shares say
     share = n.get(True, 0) / max(n.get(False, 0), 1)
-    kept = found.where(f"contexts >= {CONTEXTS}").withColumn("ratio", (F.col("contexts") - F.sqrt("contexts")) / ((F.col("clean") + 1.5) * F.lit(max(share, 1e-9)))).where(F.col("ratio") >= RATIO)
+    kept = found.where(F.col("contexts") >= CONTEXTS).withColumn("ratio", (F.col("contexts") - F.sqrt("contexts")) / ((F.col("clean") + 1.5) * F.lit(max(share, 1e-9)))).where(F.col("ratio") >= RATIO)
     rows = kept.orderBy(F.desc("contexts"), "unit").limit(UNITS).collect()
     lexicon = Lexicon({r.unit: float(np.log(r.ratio)) for r in rows})
     lexicon.chars = char_model(docs, {u: 1.0 for u in lexicon.weights})
