@@ -31,8 +31,11 @@ def plan_bytes(df: DataFrame) -> int:
 
 
 def pieces_for(df: DataFrame, mb: float, least: int = 8) -> int:
-    """How many parts of about `mb` stored MB the input makes."""
-    return max(least, min(1 << 22, int(plan_bytes(df) / (mb * 1e6)) + 1))
+    """How many parts of about `mb` stored MB the input makes. Where the optimizer has no estimate (rows from memory, or a product of joins): the session's shuffle partitions."""
+    size = plan_bytes(df)
+    if size >= 1 << 52:
+        return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return max(least, min(1 << 22, int(size / (mb * 1e6)) + 1))
 
 
 def shared_dir(spark: SparkSession) -> str:

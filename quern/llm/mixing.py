@@ -48,15 +48,18 @@ def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, rows:
     The variable is the inverse of the distribution at a hash of the seed and doc_id, so any task that is run again draws the same. Copies go to
     ranges of a uniform 60-bit key and are sorted by it: one global order without sampling. Rates are joined as a table of sources,
     of any number. Null doc_id hashes as empty text, null source is a source of its own, repeated rows draw alike; empty table: no rows;
-    other columns stay."""
+    other columns stay, but for any of the three new names."""
     rates = repetition_rates(docs, weights, rows).select(F.col("source").alias("_source"), poisson_steps(F.col("rate")).alias("_cdf"))
     u = _uniform_bits(13, F.lit(seed), F.col("doc_id")) / F.lit(float(1 << 52))
-    drawn = docs.withColumn("_u", u).join(rates, F.col("source").eqNullSafe(F.col("_source")))
-    drawn = drawn.withColumn("copies", F.when(F.size("_cdf") > 0, F.size(F.filter("_cdf", lambda c: c <= F.col("_u")))).otherwise(0).cast("long")).drop("_cdf", "_source", "_u")
+    whole = docs.select(F.struct("*").alias("_row"), "doc_id", "source", u.alias("_u"))
+    drawn = whole.join(rates, F.col("source").eqNullSafe(F.col("_source")))
+    count = F.when(F.size("_cdf") > 0, F.size(F.filter("_cdf", lambda c: c <= F.col("_u")))).otherwise(0).cast("long")
+    drawn = drawn.select("_row", "doc_id", count.alias("copies"))
     spread = drawn.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
     spread = spread.withColumn("shuffle_key", _uniform_bits(15, F.lit(seed), F.col("doc_id"), F.col("copy")))
     parts = pieces_for(docs, part_mb)
-    return spread.repartitionById(parts, (F.col("shuffle_key") / F.lit(float(1 << 60)) * parts).cast("int")).sortWithinPartitions("shuffle_key", "doc_id", "copy")
+    dealt = spread.repartitionById(parts, F.least((F.col("shuffle_key") / F.lit(float(1 << 60)) * parts).cast("int"), F.lit(parts - 1))).sortWithinPartitions("shuffle_key", "doc_id", "copy")
+    return dealt.select(*[F.col("_row")[c].alias(c) for c in docs.columns if c not in ("copies", "copy", "shuffle_key")], "copies", "copy", "shuffle_key")
 
 
 ORACLE = f"""

@@ -213,9 +213,9 @@ def secret_digest(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", n["assign"], n["access"], n["hex"], F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("all_spans")).alias("spans"), n["random"])
 
 
-def redact(docs: DataFrame) -> DataFrame:
-    """docs with every span in text replaced by REDACTED, spans that overlap as one, and n_chars counted anew. Rows without spans stay as they are; none is dropped."""
-    rows = scan(docs)
+def redact(docs: DataFrame, calibration: Calibration | None = None) -> DataFrame:
+    """docs with every span in text replaced by REDACTED, spans that overlap as one, and n_chars counted anew. Rows without spans stay as they are; none is dropped, and all columns stay."""
+    rows = scan(docs.select(F.struct("*").alias("_row"), "text"), calibration)
 
     def step(s: Column, x: Column) -> Column:
         gap = F.when(x["start"] >= s["at"], F.concat(F.col("text").substr(s["at"] + 1, x["start"] - s["at"]), F.lit(REDACTED))).otherwise("")
@@ -224,8 +224,6 @@ def redact(docs: DataFrame) -> DataFrame:
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     rest = F.aggregate("all_spans", start, step, lambda s: F.concat(s["out"], F.col("text").substr(s["at"] + 1, F.length("text"))))
     found = F.size("all_spans") > 0
-    rows = rows.withColumn("_new", F.when(found, rest).otherwise(F.col("text")))
-    rows = rows.withColumn("text", F.col("_new")).drop("_new")
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(found, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return rows.select(*docs.columns)
+    rows = rows.withColumn("_found", found).withColumn("_new", F.when(found, rest).otherwise(F.col("text")))
+    new = {"text": F.col("_new"), "n_chars": F.when(F.col("_found"), F.length("_new").cast("long")).otherwise(F.col("_row")["n_chars"]) if "n_chars" in docs.columns else None}
+    return rows.select(*[new[c].alias(c) if c in new else F.col("_row")[c].alias(c) for c in docs.columns])
