@@ -24,10 +24,13 @@ HEX = r"(?<![0-9a-f])[0-9a-f]{24,}"
 #: A candidate of the battery, and words of ordinary language: one case, or a capital first.
 RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}"
 WORD = r"(?<![A-Za-z0-9+/_=-])[A-Za-z][a-z]{9,}(?![A-Za-z0-9+/_=-])"
-CHARACTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
+#: What ordinary language is counted by: letters without their case, and digits.
+CHARACTERS = "abcdefghijklmnopqrstuvwxyz0123456789"
 ORDER = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_-"
 #: A true random run fails one of the tests of uniformity this seldom, in all; the share of false finds that is allowed.
 UNIFORM_ALPHA, DISCOVERY_ALPHA = 0.002, 0.001
+#: Letters of a word depend on each other, so a p-value made for independent ones counts only from 1e-6 down.
+LEAST = 6.0
 #: Strata: runs of less than 32, 64, 128 ... characters; bins of -log10(p), half a unit each.
 STRATA, BINS, BIN = 12, 120, 0.5
 REDACTED = "<SECRET>"
@@ -121,8 +124,9 @@ def battery(runs: Column, frequency: tuple[float, ...]) -> Column:
     logs = [math.log(q) for q in frequency]
     mu = sum(q * v for q, v in zip(frequency, logs, strict=True))
     var = max(sum(q * (v - mu) ** 2 for q, v in zip(frequency, logs, strict=True)), 1e-9)
-    # signs that also join ordinary words tell nothing
-    table = F.map_from_arrays(F.lit(list(CHARACTERS)), F.lit([mu if c in "+/_-" else v for c, v in zip(CHARACTERS, logs, strict=True)]))
+    # neither case nor the signs that also join ordinary words tell anything
+    logs_of = dict(zip(CHARACTERS, logs, strict=True))
+    table = F.map_from_arrays(F.lit(list(ORDER)), F.lit([logs_of.get(c.lower(), mu) for c in ORDER]))
     spread = lambda r: F.sqrt(F.greatest((r["mean"] - 1) * (r["mean"] - 2) / (r["n"] - 1), F.lit(1e-9)))
     x = _more(
         x, "start end n",
@@ -149,7 +153,7 @@ def candidates(text: Column, base: Column, frequency: tuple[float, ...]) -> Colu
 
 def letter_frequencies(docs: DataFrame) -> tuple[float, ...]:
     """Shares of the encoding characters in the long plain words of all texts, one of each counted beside; at most one number per character reaches the driver."""
-    words = docs.select(F.explode(F.regexp_extract_all(_safe(F.col("text")), F.lit(WORD), 0)).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    words = docs.select(F.explode(F.regexp_extract_all(_safe(F.col("text")), F.lit(WORD), 0)).alias("w")).select(F.lower("w").alias("w")).groupBy("w").agg(F.count("*").alias("n"))
     counts = {r.c: r.n for r in words.select(F.explode(F.split("w", "")).alias("c"), "n").where("c <> ''").groupBy("c").agg(F.sum("n").alias("n")).collect()}
     total = sum(counts.get(c, 0) + 1 for c in CHARACTERS)
     return tuple((counts.get(c, 0) + 1) / total for c in CHARACTERS)
@@ -168,7 +172,7 @@ def cutoffs(found: DataFrame) -> tuple[float | None, ...]:
         alpha = DISCOVERY_ALPHA * min(1.0, weight[r.stratum] / 4)
         if r["all"] * 10 ** (-r.bin * BIN) / r.over <= alpha:
             best[r.stratum] = min(best.get(r.stratum, 1e9), r.bin * BIN)
-    return tuple(best.get(s) for s in range(STRATA))
+    return tuple(None if (c := best.get(s)) is None else max(c, LEAST) for s in range(STRATA))
 
 
 def _finds(tested: Column, calibration: Calibration) -> Column:
