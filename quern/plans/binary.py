@@ -364,29 +364,31 @@ def _tx_rows(nodes: DataFrame) -> DataFrame:
     return tx.select("slot", (F.col("block_time") - 1_000_000).alias("group_slot"), "block_time", F.col("m.fee").cast("long").alias("fee"))
 
 
-def _local(name: str) -> str:
-    return tempfile.mkdtemp(prefix=name)
+def _local(spark, name: str) -> str:
+    """A fresh folder that plain open() reaches: in the shared folder where that is one, as archives are read by offset."""
+    path = scratch(spark, name)
+    return path.removeprefix("file://") if path.startswith(("file:///", "/")) else tempfile.mkdtemp(prefix=name)
 
 
 @register(_TX_ROWS)
 def car_scan(spark, d):
-    return _tx_rows(archive.read_archives(spark, _write_archive(spark, d, _local("car-")), splitBytes="262144"))
+    return _tx_rows(archive.read_archives(spark, _write_archive(spark, d, _local(spark, "car-")), splitBytes="262144"))
 
 
 @register("SELECT kind, n FROM (VALUES (0::BIGINT, (SELECT count(*) FROM orders)), (1::BIGINT, (SELECT count(DISTINCT o_orderkey // 100) FROM orders)), (2::BIGINT, (SELECT count(DISTINCT o_orderkey // 100) FROM orders)), (3::BIGINT, 1::BIGINT), (4::BIGINT, 1::BIGINT)) t(kind, n)")
 def car_nodes(spark, d):
-    nodes = archive.read_archives(spark, _write_archive(spark, d, _local("car-")), splitBytes="262144")
+    nodes = archive.read_archives(spark, _write_archive(spark, d, _local(spark, "car-")), splitBytes="262144")
     return archive.inspect(nodes.where("kind <> 6")).groupBy(F.col("kind").cast("long").alias("kind")).agg(F.sum("nodes").alias("n"))
 
 
 @register("SELECT DISTINCT o_orderkey // 100 AS slot, greatest(o_orderkey // 100 - 1, 0) AS parent_slot FROM orders")
 def car_kind_pushdown(spark, d):
-    return archive.read_archives(spark, _write_archive(spark, d, _local("car-"))).where("kind = 2").select("slot", "parent_slot")
+    return archive.read_archives(spark, _write_archive(spark, d, _local(spark, "car-"))).where("kind = 2").select("slot", "parent_slot")
 
 
 @register(_TX_ROWS)
 def car_recover(spark, d):
-    return _tx_rows(archive.read_archives(spark, _write_archive(spark, d, _local("car-"), damage=True), kinds=[0, 2, 6]))
+    return _tx_rows(archive.read_archives(spark, _write_archive(spark, d, _local(spark, "car-"), damage=True), kinds=[0, 2, 6]))
 
 
 @register("SELECT doc_id, (length(text) + 499) // 500 AS n, md5(text) AS text_md5 FROM documents")

@@ -107,14 +107,23 @@ def _head(data, at: int, end: int) -> int | None:
     return at + body + size if 0 < size <= SECTION_MOST and at + body + size <= end and data[at + body] <= 1 else None
 
 
+def _sound(data, at: int, end: int) -> bool:
+    """Whether a section with a SHA-256 content id starts here."""
+    if _head(data, at, end) is None:
+        return False
+    _, body = varint_decode(data[at : at + 10])
+    start = bytes(data[at + body : at + body + 4])
+    return start[:2] == b"\x12\x20" or start[:1] == b"\x01" and start[2:] == b"\x12\x20"
+
+
 def resume(data, at: int, end: int) -> int | None:
-    """The next place within SEARCH bytes where a section could start. One that the end or a further section follows is believed before others,
+    """The next place within SEARCH bytes where a section could start. One that the end or a sound section follows is believed before others,
     as the tail of a damaged size and a sound one together can look like a size too."""
     weak = None
     for place in range(at, min(end, at + SEARCH)):
         if (after := _head(data, place, end)) is None:
             continue
-        if after == end or _head(data, after, end) is not None:
+        if after == end or _sound(data, after, end):
             return place
         weak = place if weak is None else weak
     return weak
