@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -236,6 +237,13 @@ def build_metadata(fee: int, pre: list[int], post: list[int], logs: list[str] |
 
 # ---------------------------------------------------------------- columns
 
+
+@lru_cache(1 << 17)
+def _key_text(key: bytes) -> str:
+    """base58; keys come again and again, so the latest ones are kept."""
+    return base58_encode(key)
+
+
 _IX = "array<struct<program:int,accounts:array<int>,data:binary>>"
 OUTER = f"struct<signatures:array<binary>,version:int,keys:array<binary>,instructions:{_IX},lookups:int>"
 _TOKEN = "array<struct<account_index:long,mint:string,owner:string,ui_amount:string>>"
@@ -271,7 +279,7 @@ def decode_metadata(data: Column | str) -> Column:
 
 def text_keys(keys: Column) -> Column:
     """base58 of an array of binary."""
-    return F.arrow_udf(lambda c: pa.array([None if x is None else [base58_encode(k) for k in x] for x in c.to_pylist()], pa.list_(pa.string())), "array<string>")(keys)
+    return F.arrow_udf(lambda c: pa.array([None if x is None else [_key_text(k) for k in x] for x in c.to_pylist()], pa.list_(pa.string())), "array<string>")(keys)
 
 
 def all_keys(tx: Column, meta: Column) -> Column:

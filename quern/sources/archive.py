@@ -11,6 +11,7 @@ so a file of any size is read by many tasks; each task seeks to its range and ho
 from __future__ import annotations
 
 import glob
+import itertools
 import mmap
 import os
 from collections.abc import Iterator
@@ -33,6 +34,9 @@ tx_index long, tx_data binary, meta_data binary, meta_error string, num_hashes l
 parent_slot long, block_time long, block_height long, first long, last long, epoch long,
 frame_hash decimal(20,0), frame_index long, frame_total long, frame_data binary"""
 
+_KINDS_OF = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<binary>": pa.list_(pa.binary()), "decimal(20,0)": pa.decimal128(20, 0)}
+_ARROW = pa.schema([(f.split()[0], _KINDS_OF[f.split()[1]]) for f in SCHEMA.replace("\n", " ").split(", ")])
+
 
 # ---------------------------------------------------------------- bytes
 
@@ -335,7 +339,9 @@ class ArchiveReader(DataSourceReader):
 
     def read(self, partition):
         if partition.path:
-            yield from read_range(partition, self.kinds, self.permissive, self.whole_data)
+            rows = read_range(partition, self.kinds, self.permissive, self.whole_data)
+            while some := list(itertools.islice(rows, 2048)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*some, strict=True), _ARROW.types, strict=True)], schema=_ARROW)
 
 
 class ArchiveSource(DataSource):
