@@ -73,7 +73,7 @@ def document_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
 _BLOCK = "part int, sig binary, n binary, len binary, hash binary"
 
 
-def _entries(docs: DataFrame, words: int, parts: int, most: int = 1 << 21) -> DataFrame:
+def _entries(docs: DataFrame, words: int, parts: int, most: int = 1 << 20) -> DataFrame:
     def flush(held: list) -> Iterator[pa.RecordBatch]:
         sig, first = np.unique(np.concatenate([x[0] for x in held]), return_index=True)
         n = np.concatenate([x[1] for x in held])
@@ -133,7 +133,7 @@ def _join(table: pa.Table, name: str, kind: type) -> np.ndarray:
 
 def shared_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(sig, n, prefix, score, tokens): classes that could link, with their shared shingles ordered rarest first and how many of these are in the prefix."""
-    parts = pieces_for(docs, 8)
+    parts = pieces_for(docs, 6)
 
     def count(table: pa.Table) -> pa.Table:
         hashes, sigs, sizes = _whole(_join(table, "hash", np.uint8)), _join(table, "sig", np.uint64), _join(table, "n", np.int32)
