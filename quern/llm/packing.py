@@ -82,8 +82,11 @@ def along_curve(docs: DataFrame, part_mb: float = 12, sample_per_part: int = 64)
     parts = pieces_for(docs, part_mb)
     rows = max(1, docs.select(F.lit(1)).count())
     some = docs.select("text").sample(min(1.0, sample_per_part * parts / rows), 7)
-    sample = np.sort(np.array([r[0] for r in some.select(_key_column(None)("text")).collect()], np.int64))
-    bounds = sample[np.linspace(0, len(sample) - 1, parts + 1).astype(int)[1:-1]] if len(sample) else sample
+    # by bytes, as long texts lie together: their averages are alike
+    sample = sorted((r[0], r[1]) for r in some.select(_key_column(None)("text"), F.coalesce(F.octet_length("text"), F.lit(0)) + 64).collect())
+    keys, sizes = (np.array([r[i] for r in sample], np.int64) for i in (0, 1))
+    share = np.cumsum(sizes) - sizes / 2
+    bounds = keys[np.searchsorted(share, np.arange(1, parts) / parts * sizes.sum()).clip(0, len(keys) - 1)] if sample else keys
     spread = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     keyed = docs.withColumn("_place", _key_column(bounds)("text", spread))
     return keyed.repartitionById(parts, F.col("_place.part")).sortWithinPartitions("_place.key", "doc_id", "text")
