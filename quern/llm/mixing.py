@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces_for
+from .common import cut, pieces_for
 
 SEED = "mix-1"
+#: Rates of so many sources at most are broadcast, with 50 steps each on average; more are joined by shuffle.
+MOST_SOURCES = 10_000
 
 
 def _uniform_bits(digits: int, *parts: F.Column | str) -> F.Column:
@@ -49,7 +51,10 @@ def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, rows:
     ranges of a uniform 60-bit key and are sorted by it: one global order without sampling. Rates are joined as a table of sources,
     of any number. Null doc_id hashes as empty text, null source is a source of its own, repeated rows draw alike; empty table: no rows;
     other columns stay, but for any of the three new names."""
-    rates = repetition_rates(docs, weights, rows).select(F.col("source").alias("_source"), poisson_steps(F.col("rate")).alias("_cdf"))
+    rates = cut(repetition_rates(docs, weights, rows).select(F.col("source").alias("_source"), poisson_steps(F.col("rate")).alias("_cdf")))
+    # a list of steps grows with its rate, so both are looked at
+    size = rates.agg(F.count("*"), F.coalesce(F.sum(F.size("_cdf")), F.lit(0))).first()
+    rates = F.broadcast(rates) if size[0] <= MOST_SOURCES and size[1] <= 50 * MOST_SOURCES else rates
     u = _uniform_bits(13, F.lit(seed), F.col("doc_id")) / F.lit(float(1 << 52))
     whole = docs.select(F.struct("*").alias("_row"), "doc_id", "source", u.alias("_u"))
     drawn = whole.join(rates, F.col("source").eqNullSafe(F.col("_source")))
