@@ -21,8 +21,8 @@ KINDS = ("assign", "access", "hex", "random")
 ASSIGN = r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}"
-#: A candidate of the battery, and words of ordinary language: one case, or a capital first.
-RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}"
+#: A candidate of the battery, which may follow the '=' of an assignment or of a query's field, and words of ordinary language: one case, or a capital first.
+RUN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}"
 WORD = r"(?<![A-Za-z0-9+/_=-])[A-Za-z][a-z]{9,}(?![A-Za-z0-9+/_=-])"
 #: What ordinary language is counted by: letters without their case, and digits.
 CHARACTERS = "abcdefghijklmnopqrstuvwxyz0123456789"

@@ -56,6 +56,26 @@ def test_battery_finds_noise_and_leaves_words(spark):
     assert len(found & set(range(80))) >= 78 and not found - set(range(80))
 
 
+def test_battery_finds_what_follows_a_name(spark):
+    rng = random.Random(9)
+    draw = lambda n: "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(n))
+    shapes = ["access_key={}", "AWS_ACCESS={}", "see https//example-site/a?sig={} here", "x?id=1&sig={}&b=2", "a_long_name_of_words_in_a_row={}", "k={}=="]
+    texts = {k: shapes[k % len(shapes)].format(draw(32)) for k in range(60)}
+    plain = {100 + k: t for k, t in enumerate(["name=there-is-another-thing-over-there", "path=src/main/java/com/example/app", "n=1234567890123456789012", "f=getElementByIdentifierName", "==========================="])}
+    words = {200 + k: "the " + "".join(rng.choice(["ing", "ther", "ation", "ver"]) for _ in range(4)) + " end" for k in range(300)}
+    df = spark.createDataFrame(list((texts | plain | words).items()), "doc_id long, text string")
+    rows = {r.doc_id: r for r in secret_scan.secret_digest(df).where("n_random > 0").collect()}
+    assert len(rows.keys() & texts.keys()) >= 58 and not rows.keys() - texts.keys()
+    for i, r in rows.items():
+        run = max(re.findall("[A-Za-z0-9]+", texts[i]), key=len)
+        at = texts[i].index(run)
+        assert f"random:{at}:{at + 32 + 2 * texts[i].endswith('==')}" in r.spans.split(",")
+    from pyspark.sql import functions as F
+
+    redacted = secret_scan.redact(df).where(F.col("text").contains(secret_scan.REDACTED))
+    assert redacted.count() >= 58
+
+
 def test_battery_figures(spark):
     run = "Zk3vQ9xT1mLr8YbWc5Dn"
     df = spark.createDataFrame([(0, len(run), run)], "start int, end int, text string")
