@@ -6,11 +6,10 @@ keep the columns of documents."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quern.llm import langid, mixing, secret_scan
-from quern.llm.common import DOCUMENT_COLUMNS, cut, documents, fresh_path
-from quern.llm.jaccard import near_duplicate_classes
+from quern.llm.common import DOCUMENT_COLUMNS, documents, fresh_path
+from quern.llm.jaccard import one_of_each_class
 from quern.llm.packing import pack
 
 #: Texts whose language is less sure than this, or that have no letter, are rejected.
@@ -23,14 +22,8 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each class of near duplicates: that of the class's smallest doc_id; of rows with the same id, one. Texts without words link with nothing and stay."""
-    classes = cut(near_duplicate_classes(docs))
-    kept = classes.where("doc_id <=> component_id").groupBy("doc_id").agg(F.count("*").alias("_n"))
-    kept = kept.select(F.col("doc_id").alias("_id"), "_n")
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
-    single = rows.where("_n = 1")
-    repeated = rows.where("_n > 1").dropDuplicates(["doc_id"])
-    return single.unionByName(repeated).select(*DOCUMENT_COLUMNS)
+    """One row of each class of near duplicates: of the class's smallest doc_id, and one where that comes more than once. Ids may be null or repeated. Texts without words link with nothing, and all of them stay."""
+    return one_of_each_class(docs).select(*DOCUMENT_COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -57,16 +57,16 @@ def signatures(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
     return mix((sums[at[1:]] - sums[at[:-1]]) + np.diff(at).astype(np.uint64))
 
 
-def document_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, n_shingles, sig) of each row."""
+def document_sets(docs: DataFrame, words: int = WORDS, beside: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_shingles, sig) of each row, and the long columns named in `beside`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in slices(batch.column(1)):
                 sets, at = shingle_sets(data, offsets, words)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(at)), pa.array(signatures(sets, at).view(np.int64))], ["doc_id", "n_shingles", "sig"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(at)), pa.array(signatures(sets, at).view(np.int64)), *(batch.column(i + 2).slice(a, b - a) for i in range(len(beside)))], ["doc_id", "n_shingles", "sig", *beside])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, sig long")
+    return docs.select(F.col("doc_id").cast("long"), "text", *beside).mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "n_shingles", "sig", *beside)))
 
 
 #: An entry block: its classes, their set sizes, how many shingles each has in it, and those shingles.
@@ -236,6 +236,14 @@ def class_links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     return connected_components(edges.unionAll(more))
 
 
+def _classes(meta: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """(sig, least, root) of each set of words: the smallest doc_id with it, and the component it is in."""
+    sets = cut(shared_sets(docs, words, percent))
+    roots = class_links(sets, percent)
+    classes = meta.where("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("least"))
+    return cut(classes.join(roots.withColumnRenamed("u", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig")))
+
+
 def near_duplicate_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Per row of `docs` (doc_id, text): doc_id, n_shingles, component_id, the smallest doc_id reachable by links of Jaccard similarity percent / 100 or more.
 
@@ -243,12 +251,28 @@ def near_duplicate_classes(docs: DataFrame, words: int = WORDS, percent: int = P
     no rows; columns other than doc_id and text are ignored. A null doc_id takes part, and is never a component's smallest unless all are null."""
     docs = docs.select("doc_id", "text")
     meta = cut(document_sets(docs, words))
-    sets = cut(shared_sets(docs, words, percent))
-    roots = class_links(sets, percent)
-    classes = meta.where("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("least"))
-    classes = classes.join(roots.withColumnRenamed("u", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    classes = cut(classes)
+    classes = _classes(meta, docs, words, percent)
     leasts = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     named = classes.join(leasts, "root").select("sig", "component_id")
     out = meta.where("n_shingles > 0").join(named, "sig").select("doc_id", "n_shingles", "component_id")
     return out.unionAll(meta.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+
+
+def one_of_each_class(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """One row of each component of near duplicates, and every row without words. doc_id needn't name a row: ids may be null or repeated.
+
+    The row kept has the component's smallest doc_id (a null one only if all are null), of several texts with that id the smallest hash, and of rows equal in both
+    the smallest in the other columns. All columns stay; they must be orderable."""
+    columns = docs.columns
+    # two hashes, so that two texts are mistaken for one only under one id and with a chance of 2 ** -128
+    keyed = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_x", F.xxhash64("text")).withColumn("_y", F.xxhash64(F.lit(1), "text"))
+    meta = cut(document_sets(keyed, words, ("_x", "_y")))
+    classes = _classes(meta, docs.select("doc_id", "text"), words, percent)
+    rows = meta.where("n_shingles > 0").groupBy("sig", "doc_id", "_x", "_y").agg(F.count("*").alias("_n"))
+    # a struct with a null sorts first, so that is told apart by a field before it
+    first = rows.join(classes.select("sig", "root"), "sig").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_x", "_y", "_n")).alias("s"))
+    kept = cut(first.select(F.col("s.doc_id").alias("_k"), "s._x", "s._y", "s._n"))
+    found = keyed.join(kept, keyed["_id"].eqNullSafe(kept["_k"]) & (keyed["_x"] == kept["_x"]) & (keyed["_y"] == kept["_y"]), "inner").select(*[keyed[c] for c in (*columns, "_id", "_x", "_y")], "_n")
+    repeated = found.where("_n > 1").groupBy("_id", "_x", "_y").agg(F.min(F.struct(*columns)).alias("_row")).select("_row.*")
+    wordless = docs.where(~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
+    return found.where("_n = 1").select(*columns).unionAll(repeated).unionAll(wordless)

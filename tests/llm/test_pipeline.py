@@ -35,6 +35,24 @@ def test_whole_pipeline(spark, sf_dir, tmp_path):
     assert {r.doc_id for r in packed} == set(ids("mixing")) and total == sum(r.doc_tokens for r in packed if r.start == 0)
 
 
+def test_classes_not_ids_are_kept(spark, make):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    near = lambda k: text(k) + " and more"
+    rows = [(None, text(1)), (None, text(2)), (None, near(2)), (None, text(3)), (1, near(3))]  # null ids: two texts of their own, near copies of one and of a row with an id
+    rows += [(5, text(5)), (5, text(6)), (5, text(6)), (4, near(6))]  # a repeated id, one of its texts a near copy of a smaller id's
+    rows += [(7, text(7)), (7, near(7)), (7, text(7))]  # all one class
+    rows += [(None, None), (None, ""), (8, " \t"), (8, " \t"), (9, None)]  # wordless
+    got = corpus_pipeline.drop_near_duplicates(spark, make(rows), "")
+    assert tuple(got.columns) == DOCUMENT_COLUMNS
+    found = [(r.doc_id, r.text) for r in got.collect()]
+    seven = [r for r in found if r[0] == 7]
+    assert len(seven) == 1 and seven[0][1] in (text(7), near(7))
+    two = [r for r in found if r[1] in (text(2), near(2))]
+    assert len(two) == 1
+    want = [(None, text(1)), (1, near(3)), (5, text(5)), (4, near(6)), *rows[-5:], *seven, *two]
+    assert sorted(found, key=str) == sorted(want, key=str)
+
+
 def test_stages_take_empty_tables(spark, sf_dir, tmp_path):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("false")
     assert all(df.count() == 0 for df in stages(spark, docs, sf_dir, tmp_path).values())
