@@ -17,10 +17,12 @@ _GAP = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 #: Share of rows a concentration step keeps, number of steps, and the least rows of a group; smaller ones are taken together by language, then all.
 KEEP, STEPS, LEAST_ROWS = 0.75, 3, 50
-#: The 97.5 % point of chi-squared in four dimensions, and what the covariance of three quarters is short of that of all.
-CUTOFF, CONSISTENCY = 11.143, 1.86
-#: Statistics and the spread that each has at least: log mean word length, symbols a word, share of capitals, share of repeated lines.
-FLOORS = {"x1": 0.15, "x2": 0.5, "x3": 0.3, "x4": 0.6}
+#: The 97.5 % point of chi-squared in four dimensions, and what the covariance of the nearest three quarters is short of that of all: 0.75 / P(chi-squared in six <= 5.385).
+CUTOFF, CONSISTENCY = 11.143, 1.486
+#: Statistics and the spread that each has at least, where its estimate is smaller: log mean word length, symbols a word, share of capitals, share of repeated lines.
+SPREADS = {"x1": 0.15, "x2": 0.5, "x3": 0.3, "x4": 0.6}
+#: What is added to every spread, in squares, so that no covariance is singular.
+FLOORS = {x: s / 100 for x, s in SPREADS.items()}
 _X = tuple(FLOORS)
 _PAIRS = [(i, j) for i in range(4) for j in range(i + 1)]
 
@@ -76,6 +78,11 @@ def _factor(c: dict[tuple[int, int], Column]) -> dict[tuple[int, int], Column]:
     return out
 
 
+def _variance(estimate: Column, x: str) -> Column:
+    """A variance that is the least spread's at least, and a little more."""
+    return F.greatest(estimate, F.lit(SPREADS[x] ** 2)) + FLOORS[x] ** 2
+
+
 def _distance(rows: DataFrame) -> DataFrame:
     """Adds d, the squared Mahalanobis distance, by forward substitution in the factor."""
     for i in range(4):
@@ -90,14 +97,15 @@ def robust_estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
     """(g, m0..m3, l00..l33): location and Cholesky factor of each group after `steps` concentration steps. Rows need g and the four statistics."""
     middle = rows.groupBy("g").agg(*[F.percentile_approx(x, 0.5, 1000).alias(f"m{i}") for i, x in enumerate(_X)])
     off = rows.join(middle, "g").groupBy("g").agg(*[F.percentile_approx(F.abs(F.col(x) - F.col(f"m{i}")), 0.5, 1000).alias(f"s{i}") for i, x in enumerate(_X)])
-    estimate = middle.join(off, "g").select("g", *[f"m{i}" for i in range(4)], *[(F.sqrt(F.pow(1.4826 * F.col(f"s{i}"), F.lit(2)) + FLOORS[_X[i]] ** 2) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i, j in _PAIRS])
+    estimate = middle.join(off, "g").select("g", *[f"m{i}" for i in range(4)], *[(F.sqrt(_variance(F.pow(1.4826 * F.col(f"s{i}"), F.lit(2)), _X[i])) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i, j in _PAIRS])
     for _ in range(steps):
         estimate = cut(estimate)
         near = _distance(rows.join(estimate, "g")).select("g", *_X, "d")
         limit = near.groupBy("g").agg(F.percentile_approx("d", KEEP, 1000).alias("h"))
         kept = near.join(limit, "g").where("d <= h")
         sums = kept.groupBy("g").agg(*[F.avg(x).alias(f"m{i}") for i, x in enumerate(_X)], *[F.covar_pop(_X[i], _X[j]).alias(f"c{i}{j}") for i, j in _PAIRS])
-        c = {(i, j): F.coalesce(F.col(f"c{i}{j}"), F.lit(0.0)) * CONSISTENCY + (FLOORS[_X[i]] ** 2 if i == j else 0.0) for i, j in _PAIRS}
+        c = {(i, j): F.coalesce(F.col(f"c{i}{j}"), F.lit(0.0)) * CONSISTENCY for i, j in _PAIRS}
+        c |= {(i, i): _variance(c[i, i], _X[i]) for i in range(4)}
         for (i, j), entry in _factor(c).items():
             sums = sums.withColumn(f"l{i}{j}", entry)
         estimate = sums.select("g", *[f"m{i}" for i in range(4)], *[f"l{i}{j}" for i, j in _PAIRS])

@@ -163,6 +163,25 @@ def test_concentration_equals_numpy(spark):
     assert np.allclose([got[f"l{i}{j}"] for i in range(4) for j in range(i + 1)], [low[i, j] for i in range(4) for j in range(i + 1)], atol=0.05)
 
 
+def test_rejected_share_of_clean_vectors(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(20_000, 4)) @ rng.normal(size=(4, 4)) * 3 + [1, 0, 2, 0]
+    df = spark.createDataFrame([("g", *map(float, r)) for r in x], "g string, x1 double, x2 double, x3 double, x4 double")
+    share = outliers._distance(df.join(outliers.robust_estimates(df), "g")).where(f"d > {outliers.CUTOFF}").count() / len(x)
+    assert 0.02 < share < 0.03
+
+
+def test_spreads_are_least_ones(spark):
+    """A statistic that varies more than its least spread is judged by its own; one without variation by the least."""
+    rng = np.random.default_rng(6)
+    x = np.column_stack([rng.normal(size=(4000, 2)) * [0.2, 0.6], np.zeros(4000), np.zeros(4000)])
+    df = spark.createDataFrame([("g", *map(float, r)) for r in x], "g string, x1 double, x2 double, x3 double, x4 double")
+    got = outliers.robust_estimates(df).first()
+    # three quarters of rows spread in two dimensions: 0.75 / P(chi-squared in four <= 2.773) = 1.859 would be theirs
+    want = np.array([0.2, 0.6]) * math.sqrt(outliers.CONSISTENCY / 1.859)
+    assert np.allclose([got.l00, got.l11], want, rtol=0.06) and np.allclose([got.l22, got.l33], [0.3, 0.6], rtol=1e-3)
+
+
 # ---------------------------------------------------------------- mixing
 
 
