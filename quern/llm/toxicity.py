@@ -6,6 +6,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +29,15 @@ STEMS = (5, 6)
 LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "(": "c", "¡": "i", "£": "l"}
 SWAP_COST, DROP_COST, REPEAT_COST = 1.0, 0.5, 0.3
 SEPARATORS = ".-_*~·,'`^/\\:"
-#: Longest piece that is taken for one disguised word, and the least letters a row of single ones has.
+#: Longest word that is learnt, and the least letters a row of single ones has.
 LONGEST, LEAST = 40, 3
 _EDGE = re.compile(r"^[^\w@$€£¡|+(]+|[^\w@]+$")
-_SUSPECT = re.compile(r"[^\W\d_].*[\d@$!|+€(¡£.\-_*~·'`^/\\:].*[^\W\d_]|^[\d@$|+€(¡£].*[^\W\d_]{2}|[^\W\d_]{2}.*[\d@]$|([^\W\d_])\1\1")
+#: Signs at an edge that stand for no letter: no reading of them is lost with them. What is no plain word, and plain numbers, which aren't read as words.
+_BARE = re.compile(r"^[^\w@$€£¡|+(!]+|[^\w@$€£¡|+(!]+$")
+_REPEATED = re.compile(r"([^\W\d_])\1\1")
+_NUMBER = re.compile(r"[\d.,:/\-+$€£()%!~*'_|]*")
+_SPLIT = re.compile("[" + re.escape(SEPARATORS) + "]+")
+_LETTERS = re.compile(r"[^\W\d_]{3,}")
 #: Bins of the summed weight of hits, and what each bin's share of toxic rows is taken for as four rows say.
 _BINS = (0.0, 1e-9, 4.0, 5.5, 8.0, 14.0)
 _PRIOR = (None, 0.5, 0.8, 0.92, 0.95, 0.97)
@@ -43,8 +49,11 @@ class CharModel:
 
     logs: np.ndarray  # 28 x 28 x 28
 
+    def __post_init__(self) -> None:
+        self.costs = (-self.logs).ravel().tolist()
+
     def cost(self, a: int, b: int, c: int) -> float:
-        return -float(self.logs[a, b, c])
+        return self.costs[a * 784 + b * 28 + c]
 
 
 def symbol(c: str) -> int:
@@ -67,22 +76,72 @@ def options(c: str, previous: str) -> list[tuple[str, float]]:
     return out
 
 
-def restore(piece: str, model: CharModel) -> str:
-    """The likeliest word behind a piece: Viterbi over the lattice of its signs' options, with the last two letters as the state."""
-    states: dict[tuple[str, str], tuple[float, str]] = {("", ""): (0.0, "")}
-    previous = ""
-    for c in piece:
-        following: dict[tuple[str, str], tuple[float, str]] = {}
-        for (a, b), (cost, text) in states.items():
-            for letter, charge in options(c, previous):
+_OPTIONS: dict[tuple[str, bool], list[tuple[str, int, float]]] = {}
+
+
+def _options(c: str, same: bool) -> list[tuple[str, int, float]]:
+    """options() with each letter's symbol, kept for the signs seen."""
+    if (found := _OPTIONS.get((c, same))) is None:
+        if len(_OPTIONS) > 100_000:
+            _OPTIONS.clear()
+        found = _OPTIONS[c, same] = [(x, symbol(x), charge) for x, charge in options(c, c if same else "")]
+    return found
+
+
+def restores(piece: str, model: CharModel, ends: set[int]) -> list[str]:
+    """The likeliest word behind each beginning of a piece that `ends` has the length of: Viterbi over the lattice of its signs' options, with the last two letters as the state.
+
+    The time is linear in the length: a state holds its letters as a chain."""
+    costs = model.costs
+    # a state's key is its last two letters; its value the cost, the chain of letters, and the two letters' symbols
+    states: dict[tuple[str, str], tuple] = {("", ""): (0.0, None, 0, 0)}
+    out, previous = [], ""
+
+    def best() -> str:
+        last = [(cost + costs[a * 784 + b * 28], chain) for cost, chain, a, b in states.values()]
+        least = min(x[0] for x in last)
+        texts = []
+        for cost, chain in last:
+            if cost == least:
+                letters = []
+                while chain:
+                    chain, letter = chain
+                    letters.append(letter)
+                texts.append("".join(reversed(letters)))
+        return min(texts)
+
+    for at, c in enumerate(piece, 1):
+        following: dict[tuple[str, str], tuple] = {}
+        choices = _options(c, c == previous)
+        for key, (cost, chain, a, b) in states.items():
+            for letter, x, charge in choices:
                 if letter:
-                    key, total, new = (b, letter), cost + charge + model.cost(symbol(a), symbol(b), symbol(letter)), text + letter
+                    new, total = (key[1], letter), cost + charge + costs[a * 784 + b * 28 + x]
+                    if new not in following or total < following[new][0]:
+                        following[new] = (total, (chain, letter), b, x)
                 else:
-                    key, total, new = (a, b), cost + charge, text
-                if key not in following or total < following[key][0]:
-                    following[key] = (total, new)
+                    total = cost + charge
+                    if key not in following or total < following[key][0]:
+                        following[key] = (total, chain, a, b)
         states, previous = following, c
-    return min((cost + model.cost(symbol(a), symbol(b), 0), text) for (a, b), (cost, text) in states.items())[1]
+        if at in ends:
+            out.append(best())
+    return out or [""]
+
+
+def restore(piece: str, model: CharModel) -> str:
+    """The likeliest word behind a whole piece."""
+    return restores(piece, model, {len(piece)})[0]
+
+
+def _edges(piece: str) -> tuple[list[int], list[int]]:
+    """Where a word may begin and end in a piece: with each run of equal signs at its edges kept or left out."""
+    n = len(piece)
+    a = next((i for i, c in enumerate(piece) if c.isalnum()), n)
+    if a == n:
+        return [0], [n]
+    b = next(i for i in range(n, 0, -1) if piece[i - 1].isalnum())
+    return [i for i in range(a + 1) if i in (0, a) or piece[i] != piece[i - 1]], [i for i in range(b, n + 1) if i in (b, n) or piece[i] != piece[i - 1]]
 
 
 def trim(piece: str) -> str:
@@ -101,19 +160,74 @@ class Lexicon:
     chars: CharModel | None = None
     bins: tuple[float, ...] = (0.05, *_PRIOR[1:])
 
+    @cached_property
+    def lengths(self) -> list[int]:
+        """Lengths of units, ascending."""
+        return sorted({len(u.removesuffix("-")) for u in self.weights})
+
     def weight(self, word: str) -> float:
         return max((self.weights.get(u, 0.0) for u in plain_units(word)), default=0.0) if word else 0.0
 
-    def piece(self, piece: str) -> float:
-        """Weight of a piece of text between white space, as it stands or restored."""
+    def _read(self, piece: str) -> float:
+        """Weight of the heaviest reading of a piece with signs, with and without those at its edges."""
+        starts, ends = _edges(piece)
+        found = 0.0
+        for start in starts:
+            for word, end in zip(restores(piece[start:], self.chars, {e - start for e in ends}), ends):
+                # a sign at the edge that is read as a letter doesn't make a stem's word a longer one
+                own = len(word) - (start < starts[-1]) - (end > ends[0])
+                found = max([found, self.weights.get(word, 0.0), *(self.weights.get(f"{word[:k]}-", 0.0) for k in STEMS if own > k)])
+        return found
+
+    def row(self, letters: str) -> tuple[int, float]:
+        """Toxic units in a row of single letters, and their summed weight: the heaviest choice of places that don't overlap. A unit may stand anywhere."""
+        word = restore(letters, self.chars)
+        best = [(0.0, 0)]
+        for j in range(1, len(word) + 1):
+            top = best[-1]
+            for n in self.lengths:
+                if n > j:
+                    break
+                unit = word[j - n : j]
+                w = max(self.weights.get(unit, 0.0), self.weights.get(unit + "-", 0.0) if n in STEMS and j < len(word) else 0.0)
+                if w and best[j - n][0] + w > top[0]:
+                    top = (best[j - n][0] + w, best[j - n][1] + 1)
+            best.append(top)
+        return best[-1][1], best[-1][0]
+
+    def piece(self, piece: str) -> tuple[int, float]:
+        """Toxic words in a piece of text between white space and their summed weight: as it stands, restored as a whole, or part by part."""
         piece = piece.lower()
         word = trim(piece)
         found = self.weight(word)
-        if found or len(word) > LONGEST or not _SUSPECT.search(word):
-            if not found and len(word) > 1:
-                found = max((self.weight(w) for w in re.findall(r"[^\W\d_]{3,}", word)), default=0.0) if not word.isalpha() else 0.0
-            return found
-        return max([self.weight(restore(word, self.chars)), *(self.weight(w) for w in re.findall(r"[^\W\d_]{3,}", word))])
+        if found and word.isalpha():
+            return 1, found
+        core = _BARE.sub("", piece)
+        if not core or (core.isalpha() and not _REPEATED.search(core)) or _NUMBER.fullmatch(core):
+            return int(found > 0), found
+        whole = max(found, self._read(core))
+        ways = [(int(whole > 0), whole)]
+        plain = [w for x in _LETTERS.findall(core) if (w := self.weight(x))]
+        ways.append((len(plain), sum(plain)))
+        parts = [x for x in _SPLIT.split(core) if x]
+        if len(parts) > 1:
+            count, total, row = 0, 0.0, []
+            for part in [*parts, ""]:
+                if len(part) == 1:
+                    row.append(part)
+                    continue
+                if LEAST <= len(row) < len(parts):
+                    n, w = self.row("".join(row))
+                    count, total = count + n, total + w
+                row = []
+                if part and not _NUMBER.fullmatch(part):
+                    w = self.weight(part)
+                    w = w or (0.0 if part.isalpha() and not _REPEATED.search(part) else self._read(part))
+                    count, total = count + int(w > 0), total + w
+            if len(row := [x for x in parts if len(x) == 1]) == len(parts) and not whole and len(row) >= LEAST:
+                count, total = self.row("".join(row))
+            ways.append((count, total))
+        return max(ways, key=lambda x: x[1])
 
 
 class _Scorer:
@@ -121,10 +235,16 @@ class _Scorer:
 
     def __init__(self, lexicon: Lexicon, most: int = 800_000) -> None:
         self.lexicon, self.most, self.known = lexicon, most, {}
+        self.more: dict[str, int] = {}  # pieces with several toxic words
 
     def _look(self, piece: str) -> float:
         lone = piece.strip(SEPARATORS)
-        return -1.0 if len(lone) == 1 and (lone.isalpha() or lone in LOOKS) else self.lexicon.piece(piece)
+        if len(lone) == 1 and (lone.isalpha() or lone in LOOKS):
+            return -1.0
+        count, weight = self.lexicon.piece(piece)
+        if count > 1:
+            self.more[piece] = count
+        return weight
 
     def hits(self, text: str | None) -> tuple[int, float, int]:
         """Toxic words in the text, their summed weight, and its pieces."""
@@ -132,6 +252,7 @@ class _Scorer:
             return 0, 0.0, 0
         if len(self.known) > self.most:
             self.known.clear()
+            self.more.clear()
         known, pieces = self.known, split(text)
         weights = list(map(known.get, pieces))
         if None in weights:
@@ -140,21 +261,17 @@ class _Scorer:
                     weights[i] = known[pieces[i]] = self._look(pieces[i])
         found = np.array(weights)
         count, total = int((found > 0).sum()), float(found[found > 0].sum())
+        if self.more:
+            count += sum(self.more[pieces[i]] - 1 for i in np.flatnonzero(found > 0).tolist() if pieces[i] in self.more)
         lone = found < 0
         if lone.any():
             edges = np.flatnonzero(np.diff(np.concatenate(([0], lone.view(np.int8), [0]))))
             for a, b in edges.reshape(-1, 2).tolist():
                 if b - a >= LEAST:
-                    for x in range(a, b, LONGEST):
-                        w = self._row("".join(p.strip(SEPARATORS) for p in pieces[x : min(b, x + LONGEST)]).lower())
-                        count, total = count + int(w > 0), total + w
+                    n, w = self.lexicon.row("".join(p.strip(SEPARATORS) for p in pieces[a:b]).lower())
+                    count, total = count + n, total + w
         return count, total, len(pieces)
 
-    def _row(self, letters: str) -> float:
-        word = restore(letters, self.lexicon.chars)
-        # a word may stand anywhere in a row of single letters
-        return max([self.lexicon.weight(word), *(self.lexicon.weights.get(word[i:j], 0.0) for i in range(len(word)) for j in range(i + 4, min(len(word), i + 14) + 1))])
-
 
 def _labelled(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     """(text, toxic) of at most `most` labelled rows outside the held-out fold, first by a hash of doc_id; their ids are few enough to be broadcast, so texts stay where they are read."""

@@ -119,6 +119,33 @@ def test_disguises_count(lexicon, text):
     assert toxicity._Scorer(lexicon).hits(text)[0] == 1
 
 
+@pytest.mark.parametrize("at", [33, 36, 38, 40, 76, 79, 500])
+def test_spaced_words_across_blocks(lexicon, at):
+    filler = "ther" * 300
+    letters = filler[:at] + "idiot" + filler[:90] + "moron" + filler[:60]
+    assert toxicity._Scorer(lexicon).hits(" ".join(letters))[0] == 2
+
+
+def test_short_and_long_units_in_a_row():
+    units = {"ass": 3.0, "contemptiblenesses": 4.0, "idiot-": 5.0}
+    logs = np.full((28, 28, 28), -0.1)
+    lexicon = toxicity.Lexicon(units, toxicity.CharModel(logs))
+    for word, weight in (("ass", 3.0), ("contemptiblenesses", 4.0), ("idiotic", 5.0)):
+        assert lexicon.row("zz" + word + "zz") == (1, weight)
+    assert lexicon.row("zzasszzidioticzz") == (2, 8.0)
+
+
+@pytest.mark.parametrize("text,hits", [("idi" + "o" * 60 + "t", 1), ("_".join(["1d10t", "m0r0n"] * 6), 12), (".".join(["the", "hand"] * 8 + ["w0rthl3ss"]), 1), (".".join("the" * 20 + "moron" + "the" * 5), 1), ("idiot_moron_and_" + "_".join("scumbag"), 3), ("x" * 200_000, 0)])
+def test_long_pieces_are_decoded(lexicon, text, hits):
+    assert toxicity._Scorer(lexicon).hits(text)[0] == hits
+
+
+# signs at the edge that stand for letters, and words with hardly a letter left
+@pytest.mark.parametrize("text", ["1d10+", "idio+", "!diot", "(idio+!", "m0r0n!", "$cumbag", "5cumb49", "|d|0t", "\"1d10+\",", "wor+hle$$", "worthle$$!!"])
+def test_signs_at_the_edge_and_few_letters(lexicon, text):
+    assert toxicity._Scorer(lexicon).hits("the " + text + " hand")[0] == 1
+
+
 @pytest.mark.parametrize("text", ["call 555-6835", "a b c d", "version 4.0.1", "the hand-ing", "0x1f3a", "", None])
 def test_plain_text_does_not(lexicon, text):
     assert toxicity._Scorer(lexicon).hits(text)[0] == 0
