@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -13,31 +14,39 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, cut, slices, with_id_hash
+from .common import LOWER, cut, mix, slices, with_id_hash, word_hashes, written
 from .tokens import split
 
 FOLDS, HELD_OUT, THRESHOLD = 3, 1, 0.7
-#: A unit of the lexicon was seen in so many different contexts of toxic rows, and so many times as often (at one standard error less) as in other rows; the rarest are left out beyond `UNITS`, the size of the classifier.
-CONTEXTS, RATIO, UNITS = 5, 25.0, 20_000
+#: A unit of the lexicon is in at least so many different toxic texts, is so many times as frequent there as in clean ones, and that it isn't BOUND times as frequent is refuted at a false-discovery rate of FALSE.
+TEXTS, RATIO, BOUND, FALSE = 3, 25.0, 3.0, 0.05
 #: Most labelled rows the classifier is fitted on.
 LABELLED = 50_000
 #: Names under which the numbers of rows travel with the units; no word has their sign.
 _TOXIC, _CLEAN = "\0toxic", "\0clean"
-#: Stems: how many first letters of longer words are units too.
-STEMS = (5, 6)
+#: Least letters of a stem, which stands for all words that begin with it, and of a word. A stem that has nearly as many texts when a letter longer gives way to that one.
+STEM, WORD, NEARLY = 4, 3, 0.9
+#: Letters that a word cut by spaces may have beyond its stem.
+ENDING = 3
 #: Letters that a sign may stand for, with what the channel charges. Fixed values.
-LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "(": "c", "¡": "i", "£": "l"}
-SWAP_COST, DROP_COST, REPEAT_COST = 1.0, 0.5, 0.3
+LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "(": "c", "¡": "i", "£": "l", "*": "aeiou"}
+#: Letters that look like another one, beside those that Unicode decomposes. Fixed values.
+LETTERS = {"а": "a", "в": "b", "е": "e", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ӏ": "l", "ɡ": "g", "ı": "i", "ł": "l", "ø": "o", "đ": "d", "α": "a", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "l": "i"}
+#: Letters written as two that look like one.
+PAIRS = {"vv": "w", "rn": "m"}
+SWAP_COST, DROP_COST, REPEAT_COST, ACCENT_COST, SPACE_COST = 1.0, 0.5, 0.3, 0.5, 2.0
 SEPARATORS = ".-_*~·,'`^/\\:"
-#: Longest word that is learnt, and the least letters a row of single ones has.
-LONGEST, LEAST = 40, 3
+#: The least letters a row of single ones has.
+LEAST = 3
 _EDGE = re.compile(r"^[^\w@$€£¡|+(]+|[^\w@]+$")
-#: Signs at an edge that stand for no letter: no reading of them is lost with them. What is no plain word, and plain numbers, which aren't read as words.
+#: Signs at an edge that stand for no letter: no reading of them is lost with them; and plain numbers, which aren't read as words.
 _BARE = re.compile(r"^[^\w@$€£¡|+(!]+|[^\w@$€£¡|+(!]+$")
-_REPEATED = re.compile(r"([^\W\d_])\1\1")
 _NUMBER = re.compile(r"[\d.,:/\-+$€£()%!~*'_|]*")
 _SPLIT = re.compile("[" + re.escape(SEPARATORS) + "]+")
 _LETTERS = re.compile(r"[^\W\d_]{3,}")
+_HIDDEN = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
+_PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?")
+_WILD = re.compile(r"[^\W_]\*+[^\W_]")
 #: Bins of the summed weight of hits, and what each bin's share of toxic rows is taken for as four rows say.
 _BINS = (0.0, 1e-9, 4.0, 5.5, 8.0, 14.0)
 _PRIOR = (None, 0.5, 0.8, 0.92, 0.95, 0.97)
@@ -57,14 +66,23 @@ class CharModel:
 
 
 def symbol(c: str) -> int:
-    return ord(c) - 96 if "a" <= c <= "z" else 27 if c else 0
+    return ord(c) - 96 if "a" <= c <= "z" else 0 if c in ("", " ") else 27
+
+
+def look_alike(c: str) -> str:
+    """The plain letter that a letter looks like; itself if there is none."""
+    return LETTERS.get(c) or (c if c < "\x80" else unicodedata.normalize("NFKD", c)[0])
 
 
 def options(c: str, previous: str) -> list[tuple[str, float]]:
-    """What a sign may have been written for ('': nothing), with the channel's cost."""
+    """What a sign may have been written for ('': nothing, ' ': the edge of a word), with the channel's cost."""
     out = []
+    if c == " ":
+        return [(" ", 0.0), ("", SPACE_COST)]
     if c.isalpha():
         out.append((c, 0.0))
+        if (plain := look_alike(c)) != c:
+            out.append((plain, ACCENT_COST if c > "\x80" else SWAP_COST))
         if c == previous:
             out.append(("", REPEAT_COST))
     else:
@@ -76,6 +94,27 @@ def options(c: str, previous: str) -> list[tuple[str, float]]:
     return out
 
 
+def _class(c: str) -> str:
+    """One letter for all that a sign may be read as; '' if it is only dropped."""
+    c = LETTERS.get(c, c)
+    c = "" if c == "*" else LOOKS.get(c, c)[0]
+    return {"l": "i", "w": "v"}.get(c, c) if c.isalpha() else ""
+
+
+_CLASSES = str.maketrans({c: _class(c) for c in [*map(chr, range(128)), *LOOKS, *LETTERS]})
+_SAME = re.compile(r"(.)\1+")
+
+
+def skeleton(piece: str) -> str:
+    """What all readings of a piece have in common: look-alikes as one letter, repeats once, and no other signs. Words with other skeletons can't be meant by it, unless it has '*' between letters."""
+    if not piece.isascii():
+        piece = "".join(c for c in unicodedata.normalize("NFKD", piece) if not unicodedata.combining(c))
+    out = piece.translate(_CLASSES)
+    if not out.isalpha():
+        out = "".join(c for c in out if c.isalpha())
+    return _SAME.sub(r"\1", _SAME.sub(r"\1", out).replace("rn", "m"))
+
+
 _OPTIONS: dict[tuple[str, bool], list[tuple[str, int, float]]] = {}
 
 
@@ -148,8 +187,17 @@ def trim(piece: str) -> str:
     return _EDGE.sub("", piece)
 
 
-def plain_units(word: str) -> list[str]:
-    return [word, *(f"{word[:k]}-" for k in STEMS if len(word) > k)]
+def units(word: str) -> list[str]:
+    """The word, and its stems with a '-' at their end."""
+    return [word, *(word[:k] + "-" for k in range(STEM, len(word) + 1))]
+
+
+def _forms(piece: str) -> list[str]:
+    """The piece, also with pairs of letters that look like one as that one."""
+    out = [piece]
+    for pair, one in PAIRS.items():
+        out += [x.replace(pair, one) for x in out if pair in x]
+    return out
 
 
 @dataclass
@@ -165,18 +213,72 @@ class Lexicon:
         """Lengths of units, ascending."""
         return sorted({len(u.removesuffix("-")) for u in self.weights})
 
+    @cached_property
+    def stems(self) -> list[int]:
+        return sorted({len(u) - 1 for u in self.weights if u.endswith("-")})
+
+    @cached_property
+    def skeletons(self) -> set[str]:
+        return {k for u in self.weights if (k := skeleton(u))}
+
+    @cached_property
+    def heads(self) -> set[str]:
+        """What the skeletons of units begin with."""
+        return {k[:n] for k in self.skeletons for n in range(1, len(k))}
+
+    @cached_property
+    def firsts(self) -> set[str]:
+        """Letters that a reading may begin with if it begins with a unit."""
+        own = {k[0] for k in self.skeletons}
+        own |= {"r"} if "m" in own else set()
+        return {c for c in map(chr, range(65, 592)) if c.isalpha() and skeleton(c.lower())[:1] in own}
+
+    @cached_property
+    def spans(self) -> list[int]:
+        return sorted({len(k) for k in self.skeletons})
+
     def weight(self, word: str) -> float:
-        return max((self.weights.get(u, 0.0) for u in plain_units(word)), default=0.0) if word else 0.0
+        w = self.weights.get(word, 0.0)
+        for k in self.stems:
+            if k > len(word):
+                break
+            if (more := self.weights.get(word[:k] + "-", 0.0)) > w:
+                w = more
+        return w
+
+    @cached_property
+    def single(self) -> "Lexicon":
+        """The same units with doubled letters written once, as readings of words with repeated letters may be."""
+        return Lexicon({_SAME.sub(r"\1", u): w for u, w in sorted(self.weights.items(), key=lambda x: x[1])})
+
+    def begins(self, bones: str) -> bool:
+        return any(bones[:n] in self.skeletons for n in self.spans if n <= len(bones))
+
+    def possible(self, piece: str) -> bool:
+        """Whether any reading of the piece can begin with a unit."""
+        return bool(_WILD.search(piece)) or any(self.begins(skeleton(piece[a:])) for a in _edges(piece)[0])
 
     def _read(self, piece: str) -> float:
         """Weight of the heaviest reading of a piece with signs, with and without those at its edges."""
-        starts, ends = _edges(piece)
+        if not self.possible(piece):
+            return 0.0
         found = 0.0
-        for start in starts:
-            for word, end in zip(restores(piece[start:], self.chars, {e - start for e in ends}), ends):
-                # a sign at the edge that is read as a letter doesn't make a stem's word a longer one
-                own = len(word) - (start < starts[-1]) - (end > ends[0])
-                found = max([found, self.weights.get(word, 0.0), *(self.weights.get(f"{word[:k]}-", 0.0) for k in STEMS if own > k)])
+        for form in _forms(piece):
+            starts, ends = _edges(form)
+            for start in starts:
+                for word in restores(form[start:], self.chars, {e - start for e in ends}):
+                    found = max(found, self.weight(word) or self.single.weight(_SAME.sub(r"\1", word)))
+        return found
+
+    def joined(self, pieces: list[str]) -> float:
+        """Weight of a word that was cut into pieces by spaces: its likeliest reading, with spaces as signs that were put in or are the edges of words, has a unit that spans them."""
+        text = " ".join(p.lower() for p in pieces)
+        found = 0.0
+        for form in _forms(_BARE.sub("", text)):
+            words = restore(form, self.chars).split(" ")
+            if len(words) < len(pieces):
+                # a stem with a long rest may as well be two words that stand side by side
+                found = max([found, *(self.weights.get(u, 0.0) for u in units(words[0]) if len(words[0]) - len(u) < ENDING)])
         return found
 
     def row(self, letters: str) -> tuple[int, float]:
@@ -189,7 +291,7 @@ class Lexicon:
                 if n > j:
                     break
                 unit = word[j - n : j]
-                w = max(self.weights.get(unit, 0.0), self.weights.get(unit + "-", 0.0) if n in STEMS and j < len(word) else 0.0)
+                w = max(self.weights.get(unit, 0.0), self.weights.get(unit + "-", 0.0))
                 if w and best[j - n][0] + w > top[0]:
                     top = (best[j - n][0] + w, best[j - n][1] + 1)
             best.append(top)
@@ -198,14 +300,18 @@ class Lexicon:
     def piece(self, piece: str) -> tuple[int, float]:
         """Toxic words in a piece of text between white space and their summed weight: as it stands, restored as a whole, or part by part."""
         piece = piece.lower()
+        if not piece.isascii():
+            piece = _HIDDEN.sub("", piece)
         word = trim(piece)
         found = self.weight(word)
         if found and word.isalpha():
             return 1, found
         core = _BARE.sub("", piece)
-        if not core or (core.isalpha() and not _REPEATED.search(core)) or _NUMBER.fullmatch(core):
+        if not core or _NUMBER.fullmatch(core):
             return int(found > 0), found
         whole = max(found, self._read(core))
+        if core.isalpha():
+            return int(whole > 0), whole
         ways = [(int(whole > 0), whole)]
         plain = [w for x in _LETTERS.findall(core) if (w := self.weight(x))]
         ways.append((len(plain), sum(plain)))
@@ -221,8 +327,7 @@ class Lexicon:
                     count, total = count + n, total + w
                 row = []
                 if part and not _NUMBER.fullmatch(part):
-                    w = self.weight(part)
-                    w = w or (0.0 if part.isalpha() and not _REPEATED.search(part) else self._read(part))
+                    w = self.weight(part) or self._read(part)
                     count, total = count + int(w > 0), total + w
             if len(row := [x for x in parts if len(x) == 1]) == len(parts) and not whole and len(row) >= LEAST:
                 count, total = self.row("".join(row))
@@ -231,9 +336,9 @@ class Lexicon:
 
 
 class _Scorer:
-    """Piece weights behind a cache, emptied at `most` pieces. A lone sign has the weight -1: rows of these are restored together."""
+    """Piece weights behind a cache, emptied at `most` pieces. Lone signs have the weight -1: rows of these are restored together. -2: a piece that a unit may begin with."""
 
-    def __init__(self, lexicon: Lexicon, most: int = 800_000) -> None:
+    def __init__(self, lexicon: Lexicon, most: int = 400_000) -> None:
         self.lexicon, self.most, self.known = lexicon, most, {}
         self.more: dict[str, int] = {}  # pieces with several toxic words
 
@@ -241,10 +346,34 @@ class _Scorer:
         lone = piece.strip(SEPARATORS)
         if len(lone) == 1 and (lone.isalpha() or lone in LOOKS):
             return -1.0
+        if _PLAIN.fullmatch(piece):  # most words: a quick no
+            word = piece.rstrip(".,")
+            if word[0] not in self.lexicon.firsts:
+                return 0.0
+            bones = skeleton(word.lower())
+            if not self.lexicon.begins(bones):
+                return -2.0 if len(word) == len(piece) and bones in self.lexicon.heads else 0.0
         count, weight = self.lexicon.piece(piece)
         if count > 1:
             self.more[piece] = count
-        return weight
+        return weight or (-2.0 if piece[-1] not in ".,;:?" and skeleton(piece.lower()) in self.lexicon.heads else 0.0)
+
+    def _cut_words(self, pieces: list[str], places: list[int]) -> tuple[int, float]:
+        """Words that spaces cut, from each of the places on."""
+        lexicon, count, total, free = self.lexicon, 0, 0.0, 0
+        for i in places:
+            if i < free or not (raw := pieces[i].lower())[-1].isalnum() and raw[-1] not in LOOKS:
+                continue
+            for j in range(i + 1, len(pieces)):
+                raw += pieces[j].lower()
+                bones = skeleton(raw)
+                if lexicon.begins(bones):
+                    if w := lexicon.joined(pieces[i : j + 1]):
+                        count, total, free = count + 1, total + w, j + 1
+                    break
+                if bones not in lexicon.heads or raw[-1] in ".,;:?":
+                    break
+        return count, total
 
     def hits(self, text: str | None) -> tuple[int, float, int]:
         """Toxic words in the text, their summed weight, and its pieces."""
@@ -261,28 +390,82 @@ class _Scorer:
                     weights[i] = known[pieces[i]] = self._look(pieces[i])
         found = np.array(weights)
         count, total = int((found > 0).sum()), float(found[found > 0].sum())
-        if self.more:
+        if self.more and count:
             count += sum(self.more[pieces[i]] - 1 for i in np.flatnonzero(found > 0).tolist() if pieces[i] in self.more)
-        lone = found < 0
-        if lone.any():
-            edges = np.flatnonzero(np.diff(np.concatenate(([0], lone.view(np.int8), [0]))))
+        begins = found < 0
+        if begins.any():
+            edges = np.flatnonzero(np.diff(np.concatenate(([0], (found == -1).view(np.int8), [0]))))
             for a, b in edges.reshape(-1, 2).tolist():
                 if b - a >= LEAST:
                     n, w = self.lexicon.row("".join(p.strip(SEPARATORS) for p in pieces[a:b]).lower())
                     count, total = count + n, total + w
+                    if n:
+                        begins[a:b] = False
+            n, w = self._cut_words(pieces, np.flatnonzero(begins).tolist())
+            count, total = count + n, total + w
         return count, total, len(pieces)
 
 
+def text_keys(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The least hash of each text's 5-word runs (of all its words, if fewer): near copies mostly share it, other texts don't."""
+    hashes, at = word_hashes(data, offsets)
+    step = np.uint64(0x9E3779B97F4A7C15)
+    out = np.zeros(len(offsets) - 1, np.uint64)
+    for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+        h, n = hashes[a:b], min(5, b - a)
+        if n:
+            run = np.zeros(b - a - n + 1, np.uint64)
+            for k in range(n):
+                run = mix(run * step + h[k : k + len(run)])
+            out[i] = run.min()
+    return out.view(np.int64)
+
+
 def _labelled(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
-    """(text, toxic) of at most `most` labelled rows outside the held-out fold, first by a hash of doc_id; their ids are few enough to be broadcast, so texts stay where they are read."""
+    """(text, toxic) of at most `most` labelled rows outside the held-out fold, first by a hash of doc_id, and of near copies one; written, so that the texts are picked once. Their ids are few enough to be broadcast, so texts stay where they are read."""
     marks = with_id_hash(labels.where("toxic is not null and doc_id is not null"), FOLDS, "_h").where(F.col("_h") != HELD_OUT).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull())
-    return rows.join(F.broadcast(marks), "doc_id").select("text", F.col("toxic").cast("int"))
+
+    @F.arrow_udf("long")
+    def key(text: pa.Array) -> pa.Array:
+        return pa.array(np.concatenate([text_keys(data, offsets) for _, _, data, offsets in slices(text)] or [np.zeros(0, np.int64)]))
+
+    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(marks), "doc_id")
+    rows = written(rows.select("text", F.col("toxic").cast("int"), key("text").alias("key"), F.xxhash64("doc_id", "text").alias("row")), "labelled")
+    one = rows.groupBy("key", "toxic").agg(F.min("row").alias("row"))
+    return rows.join(F.broadcast(one), ["key", "toxic", "row"]).select("text", "toxic")
+
+
+def significant(toxic: np.ndarray, clean: np.ndarray, toxic_rows: int, clean_rows: int) -> np.ndarray:
+    """Which counts refute, by Chernoff's bound of the binomial tail, that a unit is only BOUND times as frequent in toxic texts; Benjamini and Hochberg's step-up at the rate FALSE."""
+    n = toxic + clean
+    at_most = BOUND * toxic_rows / (BOUND * toxic_rows + clean_rows)
+    share = toxic / n
+    with np.errstate(divide="ignore", invalid="ignore"):
+        far = share * np.log(share / at_most) + np.where(share < 1, (1 - share) * np.log((1 - share) / (1 - at_most)), 0.0)
+    logs = np.where(share > at_most, -n * far, 0.0)
+    order = np.argsort(logs)
+    passed = np.flatnonzero(logs[order] <= np.log(FALSE * np.arange(1, len(n) + 1) / max(len(n), 1)))
+    out = np.zeros(len(n), bool)
+    out[order[: passed[-1] + 1 if len(passed) else 0]] = True
+    return out
+
+
+def concise(weights: dict[str, float], texts: dict[str, int]) -> dict[str, float]:
+    """Units without those that others stand for: a stem gives way to one a letter longer with nearly as many texts, and words and stems to the shortest stem left that they begin with."""
+    longer: dict[str, int] = {}
+    for u in weights:
+        if u.endswith("-") and len(u) > STEM + 1:
+            longer[u[:-2] + "-"] = max(longer.get(u[:-2] + "-", 0), texts[u])
+    kept: dict[str, float] = {}
+    for u in sorted((u for u in weights if u.endswith("-") and longer.get(u, 0) < NEARLY * texts[u]), key=lambda u: (len(u), u)):
+        if not any(u[:k] + "-" in kept for k in range(STEM, len(u) - 1)):
+            kept[u] = weights[u]
+    return kept | {u: w for u, w in weights.items() if not u.endswith("-") and not any(u[:k] + "-" in kept for k in range(STEM, len(u) + 1))}
 
 
 def char_model(docs: DataFrame, words: dict[str, float]) -> CharModel:
-    """Trigrams of all texts, one array of 28 ** 3 counts a task, and of the lexicon's words with a tenth of their mass."""
+    """Trigrams of all texts, one array of 28 ** 3 counts a task, and of the lexicon's words with a tenth of their mass. Null and empty texts count nothing, repeated rows each time; without any text all letters are alike."""
     codes = np.full(256, 27, np.int64)
     codes[[32, *range(9, 14)]] = 0
     codes[97:123] = np.arange(1, 27)
@@ -321,52 +504,46 @@ def char_model(docs: DataFrame, words: dict[str, float]) -> CharModel:
 def fit(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> Lexicon:
     """Learns the lexicon and its calibration from at most `most` labelled rows outside the held-out fold, and the character model from all texts.
 
-    A unit counts by its different contexts (the words beside it), so that many copies of one toxic text don't make all its words toxic.
-    No label: nothing is toxic."""
+    A unit, a word or a stem, counts once in each toxic and each clean text that has it; of near copies one text counts. The driver gets the units
+    that are RATIO times as frequent in the toxic ones of these rows. Null texts and labels teach nothing. No label: nothing is toxic."""
     labelled = _labelled(docs, labels, most)
 
-    def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: Counter = Counter()
-        clean: Counter = Counter()
-        contexts: set[tuple[str, int]] = set()
+    def count_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[bool, Counter] = {True: Counter(), False: Counter()}
 
         def out() -> Iterator[pa.RecordBatch]:
-            names = [*clean, *(u for u, _ in contexts)]
+            names = [*found[True], *found[False]]
             if names:
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([0] * len(clean) + [c for _, c in contexts], pa.int64()), pa.array([*clean.values(), *[0] * len(contexts)], pa.int64())], ["unit", "context", "clean"])
-            clean.clear()
-            contexts.clear()
+                split_at = len(found[True])
+                n = np.array([*found[True].values(), *found[False].values()], np.int64)
+                first = np.arange(len(n)) < split_at
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(np.where(first, n, 0)), pa.array(np.where(first, 0, n))], ["unit", "toxic", "clean"])
+            found[True].clear()
+            found[False].clear()
 
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows[_TOXIC if toxic else _CLEAN] += 1
-                words = [w for p in split(text.lower()) if (w := trim(p)) and len(w) <= LONGEST]
-                if toxic:
-                    around = ["", *words, ""]
-                    for i, w in enumerate(words):
-                        if w.isalpha() and len(w) > 2:
-                            context = hash32(around[i] + "\0" + around[i + 2])
-                            contexts.update((u, context) for u in plain_units(w))
-                else:
-                    seen = {w for w in words if w.isalpha() and len(w) > 2}
-                    clean.update({u for w in seen for u in plain_units(w)})
-            if len(clean) + len(contexts) > 1_500_000:
+                words = {w for p in set(split(text.lower())) if len(w := trim(p)) >= WORD and w.isalpha()}
+                own = found[bool(toxic)]
+                own.update(words)
+                own.update({w[:k] + "-" for w in words for k in range(STEM, len(w) + 1)})
+                own[_TOXIC if toxic else _CLEAN] += 1
+            if len(found[True]) + len(found[False]) > 1_000_000:
                 yield from out()
-        clean.update(rows)
         yield from out()
 
-    found = labelled.mapInArrow(units, "unit string, context long, clean long")
-    found = found.groupBy("unit", "context").agg(F.sum("clean").alias("clean")).groupBy("unit").agg(F.sum("clean").alias("clean"), F.count_if(F.col("context") != 0).alias("contexts"))
-    found = cut(found.where((F.col("contexts") >= CONTEXTS) | F.col("unit").isin(_TOXIC, _CLEAN)))
-    sizes = {r.unit: r.clean for r in found.where(F.col("unit").isin(_TOXIC, _CLEAN)).collect()}
+    table = cut(labelled.mapInArrow(count_units, "unit string, toxic long, clean long").groupBy("unit").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where((F.col("toxic") >= TEXTS) | F.col("unit").isin(_TOXIC, _CLEAN)))
+    sizes = {r.unit: r.toxic + r.clean for r in table.where(F.col("unit").isin(_TOXIC, _CLEAN)).collect()}
     n = {True: sizes.get(_TOXIC, 0), False: sizes.get(_CLEAN, 0)}
-    # seen in toxic rows far oftener than the rows' shares say
-    share = n.get(True, 0) / max(n.get(False, 0), 1)
-    kept = found.where(F.col("contexts") >= CONTEXTS).withColumn("ratio", (F.col("contexts") - F.sqrt("contexts")) / ((F.col("clean") + 1.5) * F.lit(max(share, 1e-9)))).where(F.col("ratio") >= RATIO)
-    rows = kept.orderBy(F.desc("contexts"), "unit").limit(UNITS).collect()
-    lexicon = Lexicon({r.unit: float(np.log(r.ratio)) for r in rows})
+    # all units of at least TEXTS toxic texts are tested: their number is bounded by the labelled rows
+    arrow = table.where(~F.col("unit").isin(_TOXIC, _CLEAN)).toArrow()
+    names, toxic, clean = arrow.column("unit").to_pylist(), arrow.column("toxic").to_numpy(), arrow.column("clean").to_numpy()
+    logs = np.log((toxic + 0.5) / (clean + 1.5) * ((n[False] + 1) / (n[True] + 1)))
+    good = np.flatnonzero(significant(toxic, clean, n[True], n[False]) & (logs >= np.log(RATIO))).tolist() if n[True] and n[False] else []
+    weights = concise({names[i]: float(logs[i]) for i in good}, {names[i]: int(toxic[i]) for i in good})
+    lexicon = Lexicon(weights)
     lexicon.chars = char_model(docs, {u: 1.0 for u in lexicon.weights})
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # at most UNITS words
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # units of `most` rows at most
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer, seen = _Scorer(shared.value), Counter()
@@ -384,12 +561,6 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> Lexicon:
     return lexicon
 
 
-def hash32(text: str) -> int:
-    import zlib
-
-    return zlib.crc32(text.encode("utf-8", "surrogatepass")) | 1 << 32
-
-
 def bin_of(weight: float) -> int:
     return int(np.searchsorted(_BINS, weight, "right")) - 1
 
@@ -400,7 +571,7 @@ _SCORERS: dict[str, _Scorer] = {}
 def score(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted, hits per row. Null and empty texts score as one without a hit; repeated rows: alike. Only doc_id, to name the fold, and text are read.
 
-    Within a bin the score rises a little with the share of toxic words."""
+    Within a bin the score rises a little with the share of toxic words. hits: the toxic words, where they make a text likelier toxic than not; else 0."""
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
     key = f"{docs.sparkSession.sparkContext.applicationId} {id(lexicon)} {len(lexicon.weights)} {hash(tuple(lexicon.weights.items()))}"
 
@@ -416,7 +587,7 @@ def score(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD) -> Da
                     hits, weight, words = scorer.hits(text)
                     k = bin_of(weight)
                     out.append(min(1.0, bins[k] + (bins[k + 1] - bins[k]) * 0.2 * hits / (hits + words)) if hits else bins[0])
-                    counts.append(hits)
+                    counts.append(hits if bins[k] >= 0.5 else 0)
                 s = np.array(out)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(s), pa.array((s >= threshold).astype(np.int32)), pa.array(counts, pa.int64())], ["doc_id", "held_out", "score", "predicted", "hits"])
 
@@ -425,4 +596,6 @@ def score(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD) -> Da
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """fit() and score(): doc_id, held_out, score, predicted, hits per row of docs, whole texts, in no order. Null and empty texts score as texts without a hit; repeated rows alike;
+    without documents there are no rows, and without labels nothing is predicted toxic. Other columns of either table are ignored."""
     return score(docs, fit(docs, labels))

@@ -169,3 +169,74 @@ def test_copies_of_one_text_make_no_lexicon(make, spark):
     docs = make([(k, "quite harmless words in one copied text " * 3 if k % 5 == 0 else f"other text number {k % 50} here") for k in range(300)])
     labels = spark.createDataFrame([(k, 1, int(k % 5 == 0)) for k in range(300)], "doc_id long, quality int, toxic int")
     assert toxicity.fit(docs, labels).weights == {}
+
+
+# ways to disguise a word, each of which must be seen through
+DISGUISES = {
+    "looks": lambda w: "".join({"i": "1", "o": "0", "s": "5", "e": "3", "a": "4", "t": "7"}.get(c, c) for c in w),
+    "signs": lambda w: "".join({"i": "!", "s": "$", "a": "@", "t": "+", "c": "("}.get(c, c) for c in w),
+    "repeats": lambda w: "".join(c * (3 if k % 3 == 1 else 1) for k, c in enumerate(w)),
+    "doubled": lambda w: "".join(c * 2 for c in w),
+    "spaced": " ".join,
+    "dotted": ".".join,
+    "dashed": "-".join,
+    "cut in two": lambda w: w[: len(w) // 2] + " " + w[len(w) // 2 :],
+    "cut after two letters": lambda w: w[:2] + " " + w[2:],
+    "accents": lambda w: "".join({"i": "ï", "o": "ö", "e": "é", "a": "á", "u": "ü"}.get(c, c) for c in w),
+    "Cyrillic": lambda w: "".join({"i": "і", "o": "о", "s": "ѕ", "e": "е", "a": "а", "c": "с"}.get(c, c) for c in w),
+    "zero width": lambda w: "​".join(w),
+    "two letters for one": lambda w: w.replace("w", "vv").replace("m", "rn"),
+    "star for a vowel": lambda w: w[0] + "".join("*" if c in "aeiou" and "aeiou".find(c) >= 0 and k == min(j for j, x in enumerate(w[1:]) if x in "aeiou") else c for k, c in enumerate(w[1:])),
+    "capitals": str.upper,
+    "glued": lambda w: f"the_{w}_hand",
+    "inflected": lambda w: w + "ly",
+}
+
+
+@pytest.mark.parametrize("kind", DISGUISES)
+def test_each_kind_of_disguise(lexicon, kind):
+    rng = random.Random(7)
+    scorer, found, tried = toxicity._Scorer(lexicon), 0, 0
+    for w in ("scumbag", "moron", "idiot", "worthless"):
+        for _ in range(25):
+            around = [word(rng, "en") for _ in range(12)]
+            assert scorer.hits(" ".join(around))[0] == 0
+            around.insert(rng.randrange(13), DISGUISES[kind](w))
+            found, tried = found + (scorer.hits(" ".join(around))[0] > 0), tried + 1
+    assert found / tried >= 0.9, found / tried
+
+
+def test_clean_texts_have_no_hits(lexicon, make):
+    rng = random.Random(8)
+    rows = make([(k, " ".join(word(rng, "en") for _ in range(60)) + rng.choice(["", " 4.5%", " a@b.org", " no-one", " é", " sh and er mo"])) for k in range(2000)])
+    hits = [r.hits for r in toxicity.score(rows, lexicon).collect()]
+    assert sum(h > 0 for h in hits) / len(hits) <= 0.01
+
+
+def test_units_count_texts_on_both_sides(make, spark):
+    """A word that one clean text repeats isn't clean as often, and one that a toxic text repeats isn't toxic as often."""
+    rng = random.Random(9)
+    rows, labels = [], []
+    for k in range(600):
+        words, toxic = [word(rng, "en") for _ in range(30)], int(k % 6 == 0)
+        words += ["scumbag"] * toxic + ["frenzy"] * (40 if k == 6 else 0)
+        rows.append((k, " ".join(words), "en", "s"))
+        labels.append((k, 1, toxic))
+    found = toxicity.fit(make(rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert set(found.weights) == {"scumbag-"}
+
+
+def test_false_discoveries_are_bounded():
+    assert not toxicity.significant(np.array([3, 9]), np.array([30, 90]), 100, 1000).any()
+    assert toxicity.significant(np.array([30, 9]), np.array([0, 90]), 100, 1000).tolist() == [True, False]
+    assert toxicity.concise({"vequ-": 1.0, "veque-": 1.0, "vequest": 1.0, "vequi-": 1.0, "moro-": 1.0, "moron-": 1.0, "moron": 1.0, "ass": 1.0}, {"vequ-": 90, "veque-": 40, "vequest": 40, "vequi-": 50, "moro-": 30, "moron-": 30, "moron": 30, "ass": 9}) == {"vequ-": 1.0, "moron-": 1.0, "ass": 1.0}
+
+
+def test_skeletons_hold_every_reading(lexicon):
+    """The quick look that decides what is decoded never drops a reading that decoding would find."""
+    rng = random.Random(10)
+    signs = {c: [x for x in toxicity.LOOKS if c in toxicity.LOOKS[x] and x != "*"] + [x for x in toxicity.LETTERS if toxicity.LETTERS[x] == c] for c in "abcdefghijklmnopqrstuvwxyz"}
+    for _ in range(500):
+        w = rng.choice(["scumbag", "moron", "idiot", "worthless"])
+        piece = "".join(rng.choice([c, *signs[c]]) * rng.choice([1, 1, 2]) + rng.choice(["", "", "."]) for c in w)
+        assert toxicity.skeleton(piece) == toxicity.skeleton(w) and lexicon.possible(piece)
