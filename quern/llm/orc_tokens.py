@@ -16,7 +16,7 @@ from .tokens import crc32, vocabulary, word_encoder
 END_ID = 1
 #: part: number of the file, ascending with doc_id; at: ids of the documents before this one in its file.
 SCHEMA = "doc_id long, part int, at long, n_tokens int, tokens array<int>"
-OPTIONS = {"orc.compress": "ZSTD", "orc.create.index": "true", "orc.row.index.stride": "2000", "orc.stripe.size": str(32 << 20), "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01"}
+OPTIONS = {"orc.compress": "SNAPPY", "orc.create.index": "true", "orc.row.index.stride": "2000", "orc.stripe.size": str(4 << 20), "orc.rows.between.memory.checks": "500", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01"}
 
 
 def write_tokens(docs: DataFrame, path: str, end_id: int = END_ID, vocabulary_path: str | None = None, part_mb: float = 12) -> None:
@@ -31,7 +31,7 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = END_ID, vocabulary_pa
         encoder, part, before = word_encoder(vocabulary_path), TaskContext.get().partitionId(), 0
         for batch in batches:
             for a, b, _, _ in slices(batch.column(1)):
-                ids, at = encoder.encode_ended(batch.column(1).slice(a, b - a).to_pylist(), end_id)
+                ids, at = encoder.encode(batch.column(1).slice(a, b - a).to_pylist(), end_id)
                 n = b - a
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), pa.array(np.full(n, part, np.int32)), pa.array(before + at[:-1]), pa.array(np.diff(at).astype(np.int32)), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))], ["doc_id", "part", "at", "n_tokens", "tokens"])
                 before += int(at[-1])
@@ -42,7 +42,9 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = END_ID, vocabulary_pa
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """The rows of such files with start, the ids of all documents before each; where each file starts comes from the counts column alone."""
+    """The rows of such files with start, the ids of all documents before each; where each file starts comes from the counts column alone, one row a file.
+
+    A filter on doc_id reads only the stripes and row groups whose statistics and Bloom filters allow it. Files without rows: no rows."""
     rows = spark.read.schema(SCHEMA).orc(path)
     starts = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     starts = starts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
@@ -50,24 +52,20 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
 
 def token_digest(rows: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_crc32 and the columns part and at, from tokens."""
+    """doc_id, start, n_tokens, ids_crc32 of rows with doc_id, start, tokens, in the order given. Empty lists have no ids and the crc 0; repeated rows alike."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(3)
+            lists = batch.column(2)
             ids, at = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
             crc = [crc32(ids[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(np.diff(at).astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "part", "at", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(at).astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return rows.select("doc_id", "part", "at", "tokens").mapInArrow(run, "doc_id long, part int, at long, n_tokens long, ids_crc32 long")
+    return rows.select("doc_id", "start", "tokens").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def tokens_round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """Writes the ids of all documents, reads the files back, and returns doc_id, start, n_tokens, ids_crc32 per row from them."""
-    spark = docs.sparkSession
-    path = path or fresh_path(spark, "tokens")
+    """Writes the ids of all documents with write_tokens(), reads the files back with read_tokens(), and returns their digest: doc_id, start, n_tokens, ids_crc32 per row. Nulls, ties and empty tables as there."""
+    path = path or fresh_path(docs.sparkSession, "tokens")
     write_tokens(docs, path)
-    rows = spark.read.schema(SCHEMA).orc(path)
-    starts = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"))
-    starts = starts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
-    return token_digest(rows).join(starts, "part").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    return token_digest(read_tokens(docs.sparkSession, path))

@@ -130,7 +130,7 @@ def pack(docs: DataFrame, length: int = LENGTH, end_id: int = END_ID, vocabulary
 
         for batch in batches:
             for a, b, _, _ in slices(batch.column(1)):
-                ids, at = encoder.encode_ended(batch.column(1).slice(a, b - a).to_pylist(), end_id)
+                ids, at = encoder.encode(batch.column(1).slice(a, b - a).to_pylist(), end_id)
                 for doc, x, y in zip(batch.column(0).slice(a, b - a).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
                     first, total = x, y - x
                     while x < y:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from operator import itemgetter
 
 import numpy as np
 
@@ -21,11 +22,6 @@ def vocabulary(name: str) -> str:
 #: What str.split() takes for white space beside space and U+0009 to U+000D: fixed values.
 _OTHER_SPACE = "\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 _SPLIT = re.compile(r"[\x20\x09-\x0D]+")
-#: Pieces that are one run of letters, and at most one sign: the run ends with a token that ends a word, and so does the sign.
-_LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
-_PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]")
-
-
 def split(text: str) -> list[str]:
     odd = _OTHER_SPACE[:4] if text.isascii() else _OTHER_SPACE
     for c in odd:
@@ -34,96 +30,82 @@ def split(text: str) -> list[str]:
     return text.split()
 
 
+def lowered(text: str) -> str:
+    """Lower case where that is plainly the vocabulary's own first step: in texts of Latin-1, which have no combining marks and one letter for each. Special strings are left as they are."""
+    if "<|" in text:
+        return text
+    if not text.isascii():
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+    return text.lower()
+
+
 class WordEncoder:
-    """Ids of whole texts under a vocabulary whose pre-tokenizer drops white space, as the library's encode() gives them.
+    """Ids of whole texts under a lower-case vocabulary whose pre-tokenizer drops white space, as the library's encode() gives them.
 
-    No token spans ASCII white space there, so a text's ids are those of its pieces in a row. Pieces that are new go to the library,
-    plain ones many at a time, joined by spaces and cut after the tokens that end a word. The cache is emptied at `most` pieces."""
+    No token spans ASCII white space there, so a text's ids are those of its pieces in a row. Pieces that are new go to the library: runs of letters
+    many at a time, joined by spaces and cut after the tokens that end a word; other pieces one by one. Ids are kept as bytes, by piece: the text's
+    are joined from them. Of two generations of the cache, each of at most `most` pieces, the older one is dropped when the younger is full."""
 
-    def __init__(self, path: str, most: int = 800_000) -> None:
+    def __init__(self, path: str, most: int = 400_000) -> None:
         from tokenizers import Tokenizer
 
         self.library, self.most = Tokenizer.from_file(path), most
         words = self.library.get_vocab()
         self.ends = np.zeros(max(words.values()) + 1, bool)
         self.ends[[i for w, i in words.items() if w.endswith("</w>")]] = True
-        self.clear()
-
-    def clear(self) -> None:
-        self.slots: dict[str, int] = {}
-        self.flat, self.used = np.zeros(1 << 16, np.int32), 0
-        self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-
-    def _put(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
-        n, m = len(self.slots), len(words)
-        while n + m > len(self.start):
-            self.start, self.size = (np.concatenate((x, np.zeros_like(x))) for x in (self.start, self.size))
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.start[n : n + m], self.size[n : n + m] = self.used + np.cumsum(sizes) - sizes, sizes
-        self.used += len(ids)
-        self.slots.update(zip(words, range(n, n + m), strict=True))
-
-    def _learn(self, words: list[str]) -> None:
-        # a plain word with a sign after it has the word's ids and the sign's
-        signed = [w for w in words if w[-1] in ".," and _PLAIN.fullmatch(w)]
-        bare = [w[:-1] for w in signed] + list({w[-1] for w in signed})
-        self._learn_whole(list(dict.fromkeys(w for w in [*words, *bare] if w not in self.slots and not (w[-1] in ".," and len(w) > 1 and _PLAIN.fullmatch(w)))))
-        if signed:
-            two = np.array([[self.slots[w[:-1]], self.slots[w[-1]]] for w in signed]).reshape(-1)
-            size = self.size[two]
-            before = np.cumsum(size)
-            ids = self.flat[np.repeat(self.start[two] - before + size, size) + np.arange(before[-1])]
-            self._put(signed, ids, size.reshape(-1, 2).sum(1))
-
-    def _learn_whole(self, words: list[str]) -> None:
-        plain, odd = [], []
-        for w in words:
-            (plain if _LETTERS.fullmatch(w) else odd).append(w)
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _whole(self, words: list[str]) -> None:
+        """Puts the ids of words that hold no white space into the cache."""
+        plain = [w for w in words if w.isalpha()]
+        odd = [w for w in words if not w.isalpha()]
         for at in range(0, len(plain), 4096):
             some = plain[at : at + 4096]
-            ids = np.array(self.library.encode(" ".join(some), add_special_tokens=False).ids, np.int32)
+            ids = np.array(self.library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.int32)
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) != len(some):
                 odd += some
                 continue
-            self._put(some, ids, np.diff(ends, prepend=0))
+            ends = (ends * 4).tolist()
+            data = ids.tobytes()
+            self.known.update(zip(some, [data[a:b] for a, b in zip([0, *ends], ends)]))
         for at in range(0, len(odd), 4096):
             some = odd[at : at + 4096]
-            got = [x.ids for x in self.library.encode_batch_fast(some, add_special_tokens=False)]
-            self._put(some, np.array([i for x in got for i in x], np.int32), np.array([len(x) for x in got]))
-
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in a row, and n + 1 offsets. Null: empty."""
-        if len(self.slots) > self.most or self.used > 16 * self.most:
-            self.clear()
-        pieces: list[str] = []
-        counts = []
-        for t in texts:
-            own = split(t) if t else []
-            pieces += own
-            counts.append(len(own))
-        slot = list(map(self.slots.get, pieces))
-        if None in slot:
-            self._learn(list(dict.fromkeys(w for w, s in zip(pieces, slot, strict=True) if s is None)))
-            slot = list(map(self.slots.__getitem__, pieces))
-        slots = np.array(slot, np.int64)
-        size = self.size[slots]
-        before = np.cumsum(size)
-        total = int(before[-1]) if len(before) else 0
-        ids = self.flat[np.repeat(self.start[slots] - before + size, size) + np.arange(total)]
-        return ids, np.concatenate(([0], before))[np.concatenate(([0], np.cumsum(counts)))]
-
-    def encode_ended(self, texts: list[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
-        """The same with id `end` after each text."""
-        ids, at = self.encode(texts)
-        out = np.full(len(ids) + len(texts), end, np.int32)
-        keep = np.ones(len(out), bool)
-        at = at + np.arange(len(at))
-        keep[at[1:] - 1] = False
-        out[keep] = ids
-        return out, at
+            self.known.update((w, np.array(x.ids, np.int32).tobytes()) for w, x in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True))
+
+    def _learn(self, words: set[str]) -> None:
+        known, older = self.known, self.older
+        if older:
+            again = words & older.keys()
+            known.update((w, older[w]) for w in again)
+            words = words - again
+        # a run of letters with a sign after it has the ids of the letters and the sign's
+        whole, signed = [".", ","], []
+        for w in words:
+            (signed if w[-1] in ".," and w[:-1].isalpha() else whole).append(w)
+        bare = [w[:-1] for w in signed]
+        self._whole(list({*whole, *bare}.difference(known)))
+        known.update(zip(signed, [known[w] + known[s[-1]] for w, s in zip(bare, signed)]))
+
+    def _bytes(self, texts: list[str | None], end: bytes) -> list[bytes]:
+        if len(self.known) > self.most:
+            self.known, self.older = {}, self.known
+        pieces = [split(lowered(t)) if t else [] for t in texts]
+        if new := set().union(*pieces).difference(self.known):
+            self._learn(new)
+        known = self.known
+        return [b"".join(itemgetter(*own)(known) if len(own) > 1 else map(known.get, own)) + end for own in pieces]
+
+    def encode(self, texts: list[str | None], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, each with id `end` after it if that is given, and n + 1 offsets. Null: empty."""
+        own = self._bytes(texts, b"" if end is None else np.int32(end).tobytes())
+        at = np.zeros(len(own) + 1, np.int64)
+        np.cumsum([len(x) >> 2 for x in own], out=at[1:])
+        return np.frombuffer(b"".join(own), np.int32), at
 
 
 _ENCODERS: dict[str, WordEncoder] = {}

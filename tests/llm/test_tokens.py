@@ -88,3 +88,39 @@ def test_counts(odd, make):
     got = sorted(((r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts(odd).collect()))
     assert got == sorted((len((t or "").encode()), n := len(library.encode(t or "", add_special_tokens=False).ids), n > 1024) for _, t in ODD)
     assert token_counts(make([])).count() == 0
+
+
+def test_upper_case_special_strings_stay_text(words):
+    encoder = WordEncoder(vocabulary("word_bpe_49k.json"))
+    some = ["<|ENDOFTEXT|> A", "A<|endoftext|>B", "ÀÇ É, Ñ.", "İI ıſ Ωςσ.", "don'T", "A.B,C ...", ". , .,", None, ""]
+    ids, at = encoder.encode(some, 1)
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [[*words(t), 1] for t in some]
+
+
+def test_orc_stripes_indexes_and_bloom_filters(spark, make, tmp_path):
+    """The files have several stripes with row indexes and Bloom filters, and a look-up by doc_id reads a few row groups or none."""
+    path, n = str(tmp_path / "o"), 20_000
+    write_tokens(spark.range(n).selectExpr("2 * id as doc_id", "array_join(transform(sequence(1, 1000), i -> concat('w', pmod(xxhash64(id, i), 400))), ' ') as text"), path)
+    jvm = spark.sparkContext._jvm
+    files = [f.getPath() for f in jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(jvm.org.apache.hadoop.fs.Path(path)) if f.getPath().getName().endswith(".orc")]
+    stripes = 0
+    for file in files:
+        reader = jvm.org.apache.orc.OrcFile.createReader(file, jvm.org.apache.orc.OrcFile.readerOptions(spark._jsc.hadoopConfiguration()))
+        rows = reader.rows()
+        for stripe in reader.getStripes():
+            stripes += 1
+            kinds = {s.getKind().toString() for s in rows.readStripeFooter(stripe).getStreamsList() if s.getColumn() == 1}
+            assert {"ROW_INDEX", "BLOOM_FILTER_UTF8"} <= kinds
+        rows.close()
+    assert stripes > len(files)
+
+    def scanned(where):
+        one = spark.read.schema("doc_id long, n_tokens int").option("path", path).format("orc").load().where(where)
+        one.collect()
+        leaves = one._jdf.queryExecution().executedPlan().collectLeaves()
+        return leaves.apply(0).metrics().apply("numOutputRows").value()
+
+    assert scanned("doc_id >= 0") == n
+    assert 0 < scanned("doc_id = 777 * 2") <= 2000
+    # odd ids lie between the row groups' least and greatest, so that only Bloom filters can rule them out
+    assert sum(scanned(f"doc_id = {k}") == 0 for k in range(1, 39_999, 4000)) >= 8
