@@ -14,6 +14,8 @@ from .common import fresh_path, pieces_for, slices
 from .tokens import crc32, vocabulary, word_encoder
 
 END_ID = 1
+#: Where so many files have one row each in the table of their starts, it is broadcast.
+FILES = 200_000
 #: part: number of the file, ascending with doc_id; at: ids of the documents before this one in its file.
 SCHEMA = "doc_id long, part int, at long, n_tokens int, tokens array<int>"
 OPTIONS = {"orc.compress": "SNAPPY", "orc.create.index": "true", "orc.row.index.stride": "2000", "orc.stripe.size": str(4 << 20), "orc.rows.between.memory.checks": "500", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01"}
@@ -48,6 +50,8 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.schema(SCHEMA).orc(path)
     starts = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     starts = starts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
+    if len(rows.inputFiles()) <= FILES:
+        starts = F.broadcast(starts)
     return rows.join(starts, "part").withColumn("start", F.col("base") + F.col("at")).drop("base")
 
 

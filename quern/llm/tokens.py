@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -30,16 +31,24 @@ def split(text: str) -> list[str]:
     return text.split()
 
 
+def _latin(text: str) -> bool:
+    """Whether a text is Latin-1: no combining marks, one letter for each in lower case."""
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def lowered(text: str) -> str:
-    """Lower case where that is plainly the vocabulary's own first step: in texts of Latin-1, which have no combining marks and one letter for each. Special strings are left as they are."""
-    if "<|" in text:
-        return text
-    if not text.isascii():
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return text
-    return text.lower()
+    """Lower case where that is plainly the vocabulary's own first step. Special strings are left as they are."""
+    return text.lower() if "<|" not in text and _latin(text) else text
+
+
+def is_lowered(text: str) -> bool:
+    return _latin(text) and text == text.lower()
 
 
 class WordEncoder:
@@ -53,6 +62,9 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.library, self.most = Tokenizer.from_file(path), most
+        # lower-case runs of Latin-1 letters pass its normaliser unchanged and hold no special string, so it is spared them
+        bare = json.loads(self.library.to_str())
+        self.bare = Tokenizer.from_str(json.dumps(bare | {"normalizer": None, "added_tokens": []}))
         words = self.library.get_vocab()
         self.ends = np.zeros(max(words.values()) + 1, bool)
         self.ends[[i for w, i in words.items() if w.endswith("</w>")]] = True
@@ -63,9 +75,12 @@ class WordEncoder:
         """Puts the ids of words that hold no white space into the cache."""
         plain = [w for w in words if w.isalpha()]
         odd = [w for w in words if not w.isalpha()]
+        plain.sort(key=str.isascii)
         for at in range(0, len(plain), 4096):
             some = plain[at : at + 4096]
-            ids = np.array(self.library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.int32)
+            text = " ".join(some)
+            library = self.bare if is_lowered(text) else self.library
+            ids = np.array(library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) != len(some):
                 odd += some
