@@ -38,6 +38,20 @@ def pieces_for(df: DataFrame, mb: float, least: int = 8) -> int:
     return max(least, min(1 << 22, int(size / (mb * 1e6)) + 1))
 
 
+def range_bounds(keys: DataFrame, parts: int, most: int = 1 << 16) -> np.ndarray:
+    """Ascending bounds that cut the rows of `keys`, one long column, into `parts` ranges of about as many rows; equal ones where a key fills several ranges.
+
+    They are quantiles of one mergeable sketch, so at most `most` numbers reach the driver; further bounds are put evenly between these. Without rows: none."""
+    n = min(parts, most)
+    if n < 2:
+        return np.zeros(0, np.int64)
+    found = keys.agg(F.percentile_approx(F.col(keys.columns[0]), [i / n for i in range(1, n)], max(10_000, 4 * n))).first()[0]
+    if not found:
+        return np.zeros(0, np.int64)
+    found = np.array(found, np.int64)
+    return found if n == parts else np.interp(np.linspace(0, n - 2, parts - 1), np.arange(n - 1), found).astype(np.int64)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir, which executors share; a temporary one where it is unset."""
     context = spark.sparkContext._jsc.sc()

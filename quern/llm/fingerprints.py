@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, pieces_for
+from .common import mix, pieces_for, range_bounds
 
 WINDOW, KEEP, DIGITS = 24, 32, 10
 #: Two primes below 2**31 and a base for each: products fit in 64 bits. Fixed values.
@@ -101,6 +101,8 @@ def fingerprint(text: str) -> str:
     return as_text(smallest(PrefixHash(text).windows()))
 
 
+#: Heads of so many ranges at most are broadcast.
+RANGES = 200_000
 _OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, common_prefix long"
 
 
@@ -131,20 +133,19 @@ class _Document:
         return self.doc_id, n, hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), as_text(self.print), as_text(prints), likeness(self.print, prints), likeness(self.print, following.print), first
 
 
-def in_order(docs: DataFrame, part_mb: float = 12, sample_per_part: int = 64) -> DataFrame:
+def in_order(docs: DataFrame, part_mb: float = 12) -> DataFrame:
     """(doc_id, text, head): ranges of doc_id, sorted. The first row after a range is in it too, last and marked `head`; after the last range the first row of all.
 
-    Only one id a range reaches the driver. Sampled ids balance the ranges; all rows are kept. Null ids come first."""
+    Only one id a range reaches the driver. Null ids come first."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("_o", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    parts = pieces_for(docs, part_mb)
-    rows = max(1, docs.select(F.lit(1)).count())
-    sample = np.sort(np.array([r[0] for r in docs.select("_o").sample(min(1.0, sample_per_part * parts / rows), 7).collect()], np.int64))
-    bounds = np.unique(sample[np.linspace(0, len(sample) - 1, parts + 1).astype(int)[1:-1]]) if len(sample) else sample
+    bounds = np.unique(range_bounds(docs.select("_o"), pieces_for(docs, part_mb)))
     place = F.arrow_udf(lambda o: pa.array(np.searchsorted(bounds, o.to_numpy(zero_copy_only=False), "right").astype(np.int32)), "int")
     least = sorted((r[0], r[1]) for r in docs.select("_o", place("_o").alias("p")).groupBy("p").agg(F.min("_o")).collect())
     heads = [(o, least[i - 1][0]) for i, (_, o) in enumerate(least)]
-    heads = F.broadcast(spark.createDataFrame(heads, "_o long, _to int"))  # one row a range
+    few = len(heads) <= RANGES
+    heads = spark.createDataFrame(heads, "_o long, _to int")  # one row a range
+    heads = F.broadcast(heads) if few else heads
     placed = docs.join(heads, "_o", "left").withColumn("_p", place("_o"))
     copies = F.when(F.col("_to").isNull(), F.array(F.struct(F.lit(False).alias("head"), F.col("_p").alias("p")))).otherwise(F.array(F.struct(F.lit(False).alias("head"), F.col("_p").alias("p")), F.struct(F.lit(True).alias("head"), F.col("_to").alias("p"))))
     spread = placed.select("_o", "doc_id", "text", F.inline(copies))

@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces_for, slices, word_hashes
+from .common import pieces_for, range_bounds, slices, word_hashes
 from .tokens import crc32, vocabulary, word_encoder
 
 LENGTH, END_ID, DIMENSIONS, BITS = 4096, 2, 3, 20
@@ -78,15 +78,13 @@ def _key_column(bounds: np.ndarray | None):
 
 def along_curve(docs: DataFrame, part_mb: float = 12, sample_per_part: int = 64) -> DataFrame:
     """docs range-partitioned and sorted by Hilbert key. The range bounds come from about `sample_per_part` sampled keys a part;
-    they only balance the parts, every row is kept."""
+    they only balance the parts, every row is kept. Null and empty texts have the centre's key, repeated rows the same one."""
     parts = pieces_for(docs, part_mb)
-    rows = max(1, docs.select(F.lit(1)).count())
-    some = docs.select("text").sample(min(1.0, sample_per_part * parts / rows), 7)
-    # by bytes, as long texts lie together: their averages are alike
-    sample = sorted((r[0], r[1]) for r in some.select(_key_column(None)("text"), F.coalesce(F.octet_length("text"), F.lit(0)) + 64).collect())
-    keys, sizes = (np.array([r[i] for r in sample], np.int64) for i in (0, 1))
-    share = np.cumsum(sizes) - sizes / 2
-    bounds = keys[np.searchsorted(share, np.arange(1, parts) / parts * sizes.sum()).clip(0, len(keys) - 1)] if sample else keys
+    size = F.coalesce(F.octet_length("text"), F.lit(0)) + 64
+    total = docs.agg(F.sum(size)).first()[0] or 1
+    # rows are picked in proportion to their bytes, as long texts lie together: their averages are alike
+    picked = size * F.lit(sample_per_part * parts / total) > F.rand(7)
+    bounds = range_bounds(docs.where(picked).select(_key_column(None)("text")), parts)
     spread = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     keyed = docs.withColumn("_place", _key_column(bounds)("text", spread))
     return keyed.repartitionById(parts, F.col("_place.part")).sortWithinPartitions("_place.key", "doc_id", "text")

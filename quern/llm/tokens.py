@@ -59,12 +59,14 @@ class WordEncoder:
     are joined from them. Of two generations of the cache, each of at most `most` pieces, the older one is dropped when the younger is full."""
 
     def __init__(self, path: str, most: int = 400_000) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models
 
         self.library, self.most = Tokenizer.from_file(path), most
         # lower-case runs of Latin-1 letters pass its normaliser unchanged and hold no special string, so it is spared them
         bare = json.loads(self.library.to_str())
         self.bare = Tokenizer.from_str(json.dumps(bare | {"normalizer": None, "added_tokens": []}))
+        model = bare["model"]
+        self.bare.model = models.BPE(model["vocab"], [tuple(x) for x in model["merges"]], cache_capacity=0, end_of_word_suffix=model["end_of_word_suffix"])
         words = self.library.get_vocab()
         self.ends = np.zeros(max(words.values()) + 1, bool)
         self.ends[[i for w, i in words.items() if w.endswith("</w>")]] = True
@@ -76,8 +78,8 @@ class WordEncoder:
         plain = [w for w in words if w.isalpha()]
         odd = [w for w in words if not w.isalpha()]
         plain.sort(key=str.isascii)
-        for at in range(0, len(plain), 4096):
-            some = plain[at : at + 4096]
+        for at in range(0, len(plain), 1024):
+            some = plain[at : at + 1024]
             text = " ".join(some)
             library = self.bare if is_lowered(text) else self.library
             ids = np.array(library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
