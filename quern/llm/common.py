@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -21,6 +21,22 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+_CACHES: list[dict] = []
+
+
+def worker_cache() -> dict:
+    """A dict for what an operator keeps from task to task in a Python worker."""
+    _CACHES.append({})
+    return _CACHES[-1]
+
+
+def alone(cache: dict) -> None:
+    """Frees what other operators have kept in this worker, which they share in a pipeline."""
+    for other in _CACHES:
+        if other is not cache:
+            other.clear()
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -52,6 +68,19 @@ def range_bounds(keys: DataFrame, parts: int, most: int = 1 << 16) -> np.ndarray
     return found if n == parts else np.interp(np.linspace(0, n - 2, parts - 1), np.arange(n - 1), found).astype(np.int64)
 
 
+#: Tables of so many rows at most are broadcast by beside().
+MOST_BROADCAST, SALTS = 100_000, 32
+
+
+def beside(rows: DataFrame, table: DataFrame, on: Column, n: int, how: str = "left") -> DataFrame:
+    """rows joined with a narrow table of n rows by `on`: broadcast if it is small; else its rows are repeated for some salts, so that no task gets all rows of one key."""
+    if n <= MOST_BROADCAST:
+        return rows.join(F.broadcast(table), on, how)
+    salted = rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    table = table.withColumn("_salt_of", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(table, on & (F.col("_salt") == F.col("_salt_of")), how).drop("_salt", "_salt_of")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir, which executors share; a temporary one where it is unset."""
     context = spark.sparkContext._jsc.sc()

@@ -6,18 +6,20 @@ import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, slices, with_id_hash
+from .common import alone, mix, slices, with_id_hash, worker_cache
 from .tokens import vocabulary
 
 FOLDS, HELD_OUT, UNDETERMINED = 4, 2, "und"
-#: Letters of a run that are scored together; a longer run is scored in parts of this many.
-PART = 32
+#: Words of up to so many letters are summed side by side; in longer ones, each on its own, probabilities are scaled as they go.
+SHORT = 32
 #: Probability of a character that no piece covers, and how much of the pooled counts backs each language's own.
 UNKNOWN, BACKING = 1e-7, 0.02
 #: A text's log likelihoods count as those of at most so many independent words, so that the score stays a usable probability.
@@ -31,7 +33,7 @@ def letter_runs(text: str) -> list[str]:
 
 
 class Pieces:
-    """A fixed public vocabulary: its lower-case pieces, looked up by hash of their characters; a word is read as a mark and its letters."""
+    """A fixed public vocabulary: its lower-case pieces and what they begin with, looked up by hash of their characters; a word is read as a mark and its letters."""
 
     def __init__(self, path: str) -> None:
         import sentencepiece
@@ -40,32 +42,72 @@ class Pieces:
         found = {library.id_to_piece(i) for i in range(library.get_piece_size()) if not (library.is_control(i) or library.is_unknown(i) or library.is_byte(i))}
         self.texts = sorted(p for p in found if p == p.lower() and all(c.isalpha() for c in p.removeprefix("▁")))
         self.longest = max(map(len, self.texts))
-        hashes = np.array([self._hash(p) for p in self.texts], np.uint64)
-        self.order = np.argsort(hashes)
-        self.sorted = hashes[self.order]
         self.n = len(self.texts)
-
-    @staticmethod
-    def _hash(piece: str) -> int:
-        h = np.zeros(1, np.uint64)
-        for c in piece:
-            h = mix(h * _STEP + np.uint64(ord(c)))
-        return int(h[0])
-
-    def lattice(self, words: list[str]) -> list[tuple[int, int, np.ndarray]]:
-        """Of words of one length: (start, end, piece of each word or n: none, n + 1: a lone unknown character)."""
-        points = np.frombuffer("".join("▁" + w for w in words).encode("utf-32-le"), np.uint32).reshape(len(words), -1).astype(np.uint64)
+        # n: the beginning of a piece that is none itself
+        known = {p[:k]: self.n for p in self.texts for k in range(1, len(p) + 1)} | {p: i for i, p in enumerate(self.texts)}
+        hashes: dict[str, int] = {"": 0}
+        for k in range(1, self.longest + 1):
+            own = [p for p in known if len(p) == k]
+            h = mix(np.array([hashes[p[:-1]] for p in own], np.uint64) * _STEP + np.array([ord(p[-1]) for p in own], np.uint64))
+            hashes.update(zip(own, h.tolist(), strict=True))
+        self.hashes = np.array([hashes[p] for p in known] + [0], np.uint64)
+        self.ids = np.array([*known.values(), -1])
+        # two tables of places in these by bits of the hash: the second has what finds its place in the first taken
+        m = len(known)
+        self.first, self.second = np.full(1 << 20, m, np.int32), np.full(1 << 20, m, np.int32)
+        places = self.hashes[:m] >> np.uint64(44)
+        _, owner = np.unique(places, return_index=True)
+        self.first[places[owner]] = owner
+        rest = np.setdiff1d(np.arange(m), owner)
+        for self.shift in map(np.uint64, range(24)):
+            places = (self.hashes[rest] >> self.shift) & np.uint64((1 << 20) - 1)
+            if len(np.unique(places)) == len(places):
+                break
+        else:
+            raise ValueError("the vocabulary's hashes fit no table")
+        self.second[places] = rest
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Of each hash the piece's number, n for what only begins one, -1 for anything else."""
+        at = self.first[h >> np.uint64(44)]
+        miss = np.flatnonzero(self.hashes[at] != h)
+        more = self.second[(h[miss] >> self.shift) & np.uint64((1 << 20) - 1)]
+        at[miss] = np.where(self.hashes[more] == h[miss], more, len(self.hashes) - 1)
+        return self.ids[at]
+
+    def spans(self, points: np.ndarray, step: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """By length from 1, places in `points` (code points `step` apart belong together, 0 ends a word) where a piece of that length begins, and its number; n + 1: a lone unknown character."""
         out = []
-        for i in range(points.shape[1]):
-            h = np.zeros(len(words), np.uint64)
-            for j in range(i + 1, min(points.shape[1], i + self.longest) + 1):
-                h = mix(h * _STEP + points[:, j - 1])
-                at = np.minimum(np.searchsorted(self.sorted, h), self.n - 1)
-                ids = np.where(self.sorted[at] == h, self.order[at], self.n + (j == i + 1))
-                if j == i + 1 or (ids < self.n).any():
-                    out.append((i, j, ids))
+        at = np.flatnonzero(points)
+        h = np.zeros(len(at), np.uint64)
+        for k in range(self.longest):
+            h = mix(h * _STEP + points[at + k * step])
+            ids = self.find(h)
+            whole = (ids >= 0) & (ids < self.n)
+            out.append((at, np.where(whole, ids, self.n + 1)) if k == 0 else (at[whole], ids[whole]))
+            live = (ids >= 0) & (at + (k + 1) * step < len(points))
+            at, h = at[live], h[live]
+            live = points[at + (k + 1) * step] != 0
+            at, h = at[live], h[live]
         return out
 
+    def lattice(self, words: list[str]) -> tuple[int, list[tuple[int, int, np.ndarray, np.ndarray]]]:
+        """Positions, and (start, end, words, pieces) by ascending start, of words side by side."""
+        width, n = max(map(len, words)) + 1, len(words)
+        points = np.frombuffer("".join(("▁" + w).ljust(width, "\0") for w in words).encode("utf-32-le"), np.uint32).reshape(n, width).T.astype(np.uint64).ravel()
+        spans = [(at, ids, np.searchsorted(at, np.arange(width + 1) * n).tolist()) for at, ids in self.spans(points, n)]
+        return width, [(i, i + k, at[ends[i] : ends[i + 1]] - i * n, ids[ends[i] : ends[i + 1]]) for i in range(width) for k, (at, ids, ends) in enumerate(spans, 1) if ends[i] < ends[i + 1]]
+
+    def windows(self, word: str, most: int = 1 << 14) -> Iterator[np.ndarray]:
+        """Of one word, part by part, for each place the number of the piece of each length that ends there (places x lengths); n: none."""
+        points = np.frombuffer(("▁" + word).encode("utf-32-le"), np.uint32).astype(np.uint64)
+        for a in range(0, len(points), most):
+            begin, end = max(0, a - self.longest + 1), min(len(points), a + most)
+            out = np.full((end - begin, self.longest), self.n)
+            for k, (at, ids) in enumerate(self.spans(points[begin:end], 1)):
+                out[at + k, k] = ids
+            yield out[a - begin :]
+
 
 _PIECES: dict[str, Pieces] = {}
 
@@ -77,45 +119,91 @@ def pieces(path: str) -> Pieces:
     return _PIECES[path]
 
 
-def _parts(word: str) -> list[str]:
-    return [word[i : i + PART] for i in range(0, len(word), PART)]
-
-
-def _by_length(words: list[str], most: int = 20_000) -> Iterator[list[int]]:
-    groups: dict[int, list[int]] = {}
-    for i, w in enumerate(words):
-        groups.setdefault(len(w), []).append(i)
-    for own in groups.values():
-        for at in range(0, len(own), most):
-            yield own[at : at + most]
+def _side_by_side(words: list[str], most: int = 300_000) -> Iterator[list[int]]:
+    """Words of SHORT letters at most, in groups of similar length of about `most` letters."""
+    order = sorted((i for i, w in enumerate(words) if len(w) <= SHORT), key=lambda i: len(words[i]))
+    while order:
+        n = 1
+        while n < len(order) and (n + 1) * (len(words[order[n]]) + 1) <= most and len(words[order[n]]) <= 2 * len(words[order[0]]) + 4:
+            n = min(len(order), 2 * n)
+        while n > 1 and n * (len(words[order[n - 1]]) + 1) > 2 * most:
+            n //= 2
+        yield order[:n]
+        order = order[n:]
+
+
+def _sums(windows: Iterator[np.ndarray], probabilities: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Forward sums of one word, place by place, as (sums, logarithms of what they are to be multiplied with); probabilities: pieces x columns."""
+    longest = None
+    for ids in windows:
+        if longest is None:
+            longest = ids.shape[1]
+            last, scale = np.zeros((longest, probabilities.shape[1])), np.zeros(probabilities.shape[1])
+            last[0] = 1
+        for row in probabilities[ids]:
+            now = (last * row).sum(0)
+            last[1:] = last[:-1]
+            last[0] = now
+            most = last.max(0)
+            if most.min() < 1e-100:
+                last /= most
+                scale = scale + np.log(most)
+            yield last[0].copy(), scale
 
 
 def expected_counts(table: Pieces, words: list[str], weights: np.ndarray) -> np.ndarray:
     """Forward and backward sums under equal piece probabilities: expected uses of each piece, for each column of weights (words x languages)."""
-    p = 1.0 / table.n
-    flat = np.append(np.full(table.n, p), [0.0, UNKNOWN])
+    flat = np.append(np.full(table.n, 1.0 / table.n), [0.0, UNKNOWN])
     out = np.zeros((table.n + 2, weights.shape[1]))
-    for own in _by_length(words):
+    for own in _side_by_side(words):
         some = [words[i] for i in own]
-        n = len(some[0]) + 1
-        scale = 1.0 / p
-        lattice = table.lattice(some)
-        forward = np.zeros((n + 1, len(some)))
+        width, lattice = table.lattice(some)
+        ends = np.array([len(w) + 1 for w in some])
+        forward, backward = np.zeros((width + 1, len(some))), np.zeros((width + 1, len(some)))
         forward[0] = 1
-        probs = [flat[ids] * scale ** ((j - i) / 3) for i, j, ids in lattice]
-        for (i, j, _), q in sorted(zip(lattice, probs, strict=True), key=lambda x: x[0][0]):
-            forward[j] += forward[i] * q
-        backward = np.zeros_like(forward)
-        backward[n] = 1
-        for (i, j, _), q in sorted(zip(lattice, probs, strict=True), key=lambda x: -x[0][1]):
-            backward[i] += backward[j] * q
-        total = forward[n]
-        use = [forward[i] * q * backward[j] / total for (i, j, _), q in zip(lattice, probs, strict=True)]
-        ids = np.concatenate([x[2] for x in lattice])
+        for i, j, rows, ids in lattice:
+            forward[j, rows] += forward[i, rows] * flat[ids]
+        backward[ends, np.arange(len(some))] = 1 / forward[ends, np.arange(len(some))]
+        for i, j, rows, ids in reversed(lattice):
+            backward[i, rows] += backward[j, rows] * flat[ids]
+        ids = np.concatenate([x[3] for x in lattice])
+        use = np.concatenate([forward[i, rows] * flat[x] * backward[j, rows] for i, j, rows, x in lattice])
+        rows = np.concatenate([x[2] for x in lattice])
+        own_weights = weights[own]
         for k in range(weights.shape[1]):
-            w = weights[own, k]
-            if w.any():
-                out[:, k] += np.bincount(ids, np.concatenate([u * w for u in use]), minlength=table.n + 2)
+            if own_weights[:, k].any():
+                out[:, k] += np.bincount(ids, use * own_weights[rows, k], minlength=table.n + 2)
+    for w, (word, weight) in enumerate(zip(words, weights, strict=True)):
+        if len(word) > SHORT:
+            out += _long_counts(table, word, flat)[:, None] * weight
+    return out
+
+
+def _long_counts(table: Pieces, word: str, flat: np.ndarray) -> np.ndarray:
+    """Expected uses of pieces in one word of any length: sums as logarithms, one pair a place."""
+    n = len(word) + 1
+    forward, backward = np.zeros(n + 1), np.zeros(n + 1)
+    for at, (x, scale) in enumerate(_sums(table.windows(word), flat[:, None]), 1):
+        forward[at] = np.log(x[0]) + scale[0]
+    # backward: the window of a place's beginnings, from the last place on
+    points = np.frombuffer(("▁" + word).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    following, shift = np.zeros(table.longest), 0.0
+    following[0] = 1
+    spans = table.spans(points, 1)
+    begins = np.full((table.longest, n), table.n)
+    for k, (at, ids) in enumerate(spans):
+        begins[k, at] = ids
+    for at in range(n - 1, -1, -1):
+        now = float((following * flat[begins[:, at]]).sum())
+        following[1:] = following[:-1]
+        following[0] = now
+        if following.max() < 1e-100:
+            shift += np.log(most := following.max())
+            following /= most
+        backward[at] = np.log(following[0]) + shift
+    out = np.zeros(table.n + 2)
+    for k, (at, ids) in enumerate(spans, 1):
+        out += np.bincount(ids, np.exp(forward[at] + np.log(flat[ids]) + backward[at + k] - forward[n]), minlength=table.n + 2)
     return out
 
 
@@ -127,19 +215,22 @@ class Model:
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         """Log of each word's probability in each language, summed over all its segmentations by the forward algorithm."""
-        table = pieces(self.path)
-        parts = [_parts(w) for w in words]
-        flat = [p for x in parts for p in x]
-        out = np.zeros((len(flat), len(self.languages)))
-        for own in _by_length(flat):
-            some = [flat[i] for i in own]
-            n = len(some[0]) + 1
-            forward = np.zeros((n + 1, len(some), len(self.languages)))
+        table, probabilities = pieces(self.path), self.probabilities
+        out = np.zeros((len(words), len(self.languages)))
+        for own in _side_by_side(words):
+            some = [words[i] for i in own]
+            width, lattice = table.lattice(some)
+            forward = np.zeros((width + 1, len(some), len(self.languages)))
             forward[0] = 1
-            for i, j, ids in table.lattice(some):
-                forward[j] += forward[i] * self.probabilities[ids]
-            out[own] = np.log(np.maximum(forward[n], 1e-300))
-        return np.add.reduceat(out, np.cumsum([0, *map(len, parts[:-1])]), axis=0) if words else out
+            for i, j, rows, ids in lattice:
+                forward[j, rows] += forward[i, rows] * probabilities[ids]
+            out[own] = np.log(np.maximum(forward[[len(w) + 1 for w in some], np.arange(len(some))], 1e-300))
+        for k, word in enumerate(words):
+            if len(word) > SHORT and self.languages:
+                for x, scale in _sums(table.windows(word), probabilities):
+                    pass
+                out[k] = np.log(x) + scale
+        return out
 
 
 def _training(docs: DataFrame) -> DataFrame:
@@ -157,10 +248,11 @@ def fit(docs: DataFrame, vocabulary_path: str | None = None, most: int = 200_000
         table, counts, totals = pieces(path), {}, {}
 
         def settle() -> None:
-            words = list(dict.fromkeys(w for c in counts.values() for w in c))
-            weights = np.array([[c[w] for c in counts.values()] for w in words], float)
-            cut = [(p, i) for i, w in enumerate(words) for p in _parts(w)]
-            found = expected_counts(table, [p for p, _ in cut], weights[[i for _, i in cut]])
+            place = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(counts.values())))}
+            weights = np.zeros((len(place), len(counts)))
+            for k, c in enumerate(counts.values()):
+                weights[list(map(place.__getitem__, c)), k] = list(c.values())
+            found = expected_counts(table, list(place), weights)
             for k, lang in enumerate(counts):
                 totals[lang] = totals.get(lang, 0) + found[:, k]
             counts.clear()
@@ -211,16 +303,14 @@ class _Scorer:
             own = letter_runs(t) if t else []
             words += own
             counts.append(len(own))
-            letter.append(bool(own) and any(any(map(str.isalpha, w)) for w in own))
-        slot = list(map(self.slots.get, words))
-        if None in slot:
-            new = list(dict.fromkeys(w for w, s in zip(words, slot, strict=True) if s is None))
+            letter.append(bool(own) and (own[0].isalpha() or any(any(map(str.isalpha, w)) for w in own)))
+        if new := list(set(words).difference(self.slots)):
             at = len(self.slots)
             while at + len(new) > len(self.scores):
                 self.scores = np.concatenate((self.scores, np.zeros_like(self.scores)))
             self.scores[at : at + len(new)] = self.model.word_scores(new)
             self.slots.update(zip(new, range(at, at + len(new)), strict=True))
-            slot = list(map(self.slots.__getitem__, words))
+        slot = itemgetter(*words)(self.slots) if len(words) > 1 else list(map(self.slots.get, words))
         counts = np.array(counts)
         sums = np.zeros((len(words) + 1, self.scores.shape[1]))
         np.cumsum(self.scores[np.array(slot, np.int64)], axis=0, out=sums[1:])
@@ -228,7 +318,7 @@ class _Scorer:
         return sums[ends] - sums[ends - counts], counts, np.array(letter, bool)
 
 
-_SCORERS: dict[object, _Scorer] = {}
+_SCORERS: dict[object, _Scorer] = worker_cache()
 
 
 def predictor(spark: SparkSession, model: Model):
@@ -237,6 +327,7 @@ def predictor(spark: SparkSession, model: Model):
     key = (spark.sparkContext.applicationId, uuid.uuid4().hex)
 
     def predict_texts(column: pa.Array) -> tuple[pa.Array, pa.Array]:
+        alone(_SCORERS)
         if key not in _SCORERS:
             _SCORERS.clear()
             _SCORERS[key] = _Scorer(shared.value)
@@ -284,4 +375,6 @@ def recognised(docs: DataFrame, model: Model, least: float) -> DataFrame:
 
 
 def identify(docs: DataFrame) -> DataFrame:
+    """fit() and predict() on the same table: doc_id, held_out, lang_pred, score per row. Null, empty and letterless texts are `und` with score 0; rows without lang or in the held-out fold teach nothing;
+    repeated rows alike, texts of any length whole; empty table: no rows. Other columns are ignored."""
     return predict(docs, fit(docs))

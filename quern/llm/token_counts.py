@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import alone, slices, worker_cache
 from .tokens import vocabulary
 
 LIMIT, CHUNK, OVERLAP = 1024, 16_384, 512
@@ -123,11 +123,12 @@ class TokenCounter:
         return total + int((starts >= at).sum())
 
 
-_COUNTERS: dict[str, TokenCounter] = {}
+_COUNTERS: dict[str, TokenCounter] = worker_cache()
 
 
 def token_counter(path: str) -> TokenCounter:
     """One per Python worker."""
+    alone(_COUNTERS)
     if path not in _COUNTERS:
         _COUNTERS[path] = TokenCounter(path)
     return _COUNTERS[path]

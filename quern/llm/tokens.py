@@ -10,6 +10,8 @@ from operator import itemgetter
 
 import numpy as np
 
+from .common import alone, worker_cache
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 
@@ -125,11 +127,12 @@ class WordEncoder:
         return np.frombuffer(b"".join(own), np.int32), at
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+_ENCODERS: dict[str, WordEncoder] = worker_cache()
 
 
 def word_encoder(path: str) -> WordEncoder:
     """One per Python worker."""
+    alone(_ENCODERS)
     if path not in _ENCODERS:
         _ENCODERS[path] = WordEncoder(path)
     return _ENCODERS[path]

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, cut, mix, slices, with_id_hash, word_hashes, written
+from .common import LOWER, alone, cut, mix, slices, with_id_hash, word_hashes, worker_cache, written
 from .tokens import split
 
 FOLDS, HELD_OUT, THRESHOLD = 3, 1, 0.7
@@ -565,7 +565,7 @@ def bin_of(weight: float) -> int:
     return int(np.searchsorted(_BINS, weight, "right")) - 1
 
 
-_SCORERS: dict[str, _Scorer] = {}
+_SCORERS: dict[str, _Scorer] = worker_cache()
 
 
 def score(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD) -> DataFrame:
@@ -576,6 +576,7 @@ def score(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD) -> Da
     key = f"{docs.sparkSession.sparkContext.applicationId} {id(lexicon)} {len(lexicon.weights)} {hash(tuple(lexicon.weights.items()))}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone(_SCORERS)
         if key not in _SCORERS:
             _SCORERS.clear()
             _SCORERS[key] = _Scorer(shared.value)

@@ -240,3 +240,59 @@ def test_skeletons_hold_every_reading(lexicon):
         w = rng.choice(["scumbag", "moron", "idiot", "worthless"])
         piece = "".join(rng.choice([c, *signs[c]]) * rng.choice([1, 1, 2]) + rng.choice(["", "", "."]) for c in w)
         assert toxicity.skeleton(piece) == toxicity.skeleton(w) and lexicon.possible(piece)
+
+
+def log_forward(table, probabilities, text):
+    """Brute force over places, in logarithms."""
+    known, marked = {p: i for i, p in enumerate(table.texts)}, "▁" + text
+    logs = [0.0]
+    for j in range(1, len(marked) + 1):
+        ways = []
+        for i in range(max(0, j - table.longest), j):
+            k = known.get(marked[i:j], table.n + 1 if j - i == 1 else None)
+            if k is not None and probabilities[k] > 0:
+                ways.append(logs[i] + math.log(probabilities[k]))
+        top = max(ways)
+        logs.append(top + math.log(sum(math.exp(x - top) for x in ways)))
+    return logs[-1]
+
+
+def test_long_words_are_summed_whole(make, texts, monkeypatch):
+    model = langid.fit(make(texts))
+    table = langid.pieces(vocabulary("piece_bpe_32k.model"))
+    rng = random.Random(12)
+    some = ["thering" * k for k in (4, 5, 9, 40)] + ["".join(rng.choice("abcdeßш日") for _ in range(n)) for n in (31, 32, 33, 34, 200, 40_000)] + ["keit" * 12_000]
+    scores = model.word_scores(some)
+    for w, row in zip(some, scores, strict=True):
+        for k in range(2):
+            assert row[k] == pytest.approx(log_forward(table, model.probabilities[:, k], w), rel=1e-9)
+    monkeypatch.setattr(langid, "SHORT", 3)
+    assert np.allclose(model.word_scores(some[:5]), scores[:5])
+
+
+def test_expected_counts_are_those_of_all_segmentations(monkeypatch):
+    table = langid.pieces(vocabulary("piece_bpe_32k.model"))
+    known = {p: i for i, p in enumerate(table.texts)}
+
+    def ways(s):
+        if not s:
+            yield [], 1.0
+        for k in range(1, len(s) + 1):
+            i = known.get(s[:k], table.n + 1 if k == 1 else None)
+            if i is not None:
+                for rest, p in ways(s[k:]):
+                    yield [i, *rest], p * (1 / table.n if i < table.n else langid.UNKNOWN)
+
+    words = ["the", "ther", "xø日", "ingation", "a", "schung"]
+    weights = np.array([[1.0, 0.0], [2.0, 1.0], [1.0, 3.0], [0.0, 1.0], [5.0, 5.0], [1.0, 1.0]])
+    want = np.zeros((table.n + 2, 2))
+    for w, own in zip(words, weights, strict=True):
+        every = list(ways("▁" + w))
+        total = sum(p for _, p in every)
+        for ids, p in every:
+            for i in ids:
+                want[i] += p / total * own
+    assert np.allclose(langid.expected_counts(table, words, weights), want)
+    monkeypatch.setattr(langid, "SHORT", 0)
+    assert np.allclose(langid.expected_counts(table, words, weights), want)
+    assert langid.expected_counts(table, ["ab" * 30_000], np.ones((1, 1))).sum() > 10_000
