@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, pieces_for
+from .common import beside, cut, pieces_for
 
 SEED = "mix-1"
 #: Rates of so many sources at most are broadcast, with 50 steps each on average; more are joined by shuffle.
@@ -32,16 +32,15 @@ def repetition_rates(docs: DataFrame, weights: dict[str, float] | None = None, r
     return counts.crossJoin(F.broadcast(total)).select("source", F.when(F.col("w") > 0, F.col("weight") / F.col("w") * wanted / F.col("n")).otherwise(0.0).alias("rate"))
 
 
-def poisson_steps(rate: F.Column) -> F.Column:
-    """P(count <= k) for k from 0 to far in the tail: the number of entries that are <= u is the count of a uniform u. In logarithms, so that a large rate doesn't underflow."""
-    far = F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int")
-    start = F.struct((-rate).alias("log"), F.array(F.exp(-rate)).alias("cdf"))
-
-    def step(s: F.Column, k: F.Column) -> F.Column:
-        log = s["log"] + F.log(rate / k)
-        return F.struct(log.alias("log"), F.array_append(s["cdf"], F.element_at(s["cdf"], -1) + F.exp(log)).alias("cdf"))
-
-    return F.when(rate > 0, F.aggregate(F.sequence(F.lit(1), far), start, step, lambda s: s["cdf"])).otherwise(F.array())
+def poisson_steps(rates: DataFrame) -> DataFrame:
+    """(_source, _cdf) of rates: P(count <= k) for k from 0 to far in the tail, so the number of entries that are <= u is the count of a uniform u. Running sums, in logarithms, so that a large rate doesn't underflow; empty for a rate of 0."""
+    far = F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 30).cast("int")
+    steps = rates.where("rate > 0").select("source", "rate", F.explode(F.sequence(F.lit(0), far)).alias("k"))
+    upto = Window.partitionBy("source").orderBy("k")
+    logs = steps.withColumn("log", F.sum(F.when(F.col("k") > 0, F.log(F.col("rate") / F.col("k"))).otherwise(-F.col("rate"))).over(upto))
+    sums = logs.withColumn("cdf", F.sum(F.exp("log")).over(upto)).groupBy("source").agg(F.array_sort(F.collect_list("cdf")).alias("_cdf"))
+    none = rates.where("not rate > 0").select("source", F.array().cast("array<double>").alias("_cdf"))
+    return sums.unionAll(none).withColumnRenamed("source", "_source")
 
 
 def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, rows: float | None = None, seed: str = SEED, part_mb: float = 12) -> DataFrame:
@@ -51,13 +50,13 @@ def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, rows:
     ranges of a uniform 60-bit key and are sorted by it: one global order without sampling. Rates are joined as a table of sources,
     of any number. Null doc_id hashes as empty text, null source is a source of its own, repeated rows draw alike; empty table: no rows;
     other columns stay, but for any of the three new names."""
-    rates = cut(repetition_rates(docs, weights, rows).select(F.col("source").alias("_source"), poisson_steps(F.col("rate")).alias("_cdf")))
+    rates = cut(poisson_steps(repetition_rates(docs, weights, rows)))
     # a list of steps grows with its rate, so both are looked at
     size = rates.agg(F.count("*"), F.coalesce(F.sum(F.size("_cdf")), F.lit(0))).first()
-    rates = F.broadcast(rates) if size[0] <= MOST_SOURCES and size[1] <= 50 * MOST_SOURCES else rates
+    few = size[0] <= MOST_SOURCES and size[1] <= 50 * MOST_SOURCES
     u = _uniform_bits(13, F.lit(seed), F.col("doc_id")) / F.lit(float(1 << 52))
     whole = docs.select(F.struct("*").alias("_row"), "doc_id", "source", u.alias("_u"))
-    drawn = whole.join(rates, F.col("source").eqNullSafe(F.col("_source")))
+    drawn = beside(whole, rates, F.col("source").eqNullSafe(F.col("_source")), 0 if few else 1 << 60, "inner")
     count = F.when(F.size("_cdf") > 0, F.size(F.filter("_cdf", lambda c: c <= F.col("_u")))).otherwise(0).cast("long")
     drawn = drawn.select("_row", "doc_id", count.alias("copies"))
     spread = drawn.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))

@@ -1,7 +1,8 @@
 """Quality rules with DataFrame functions alone: fixed counts, and robust multivariate outliers by language and source.
 
-The verdict is by minimum covariance determinant: from medians and median deviations of each group, concentration steps keep the three quarters of rows that
-are nearest by Mahalanobis distance, and take mean and covariance from these; at last a row whose distance is beyond the cutoff is rejected.
+The verdict is by minimum covariance determinant: of several starts in each group (medians and median deviations, and random subsets) concentration steps keep
+the three quarters of rows that are nearest by Mahalanobis distance and take mean and covariance from these; the start whose covariance has the least determinant
+goes on until it changes no more; at last a row whose distance is beyond the cutoff is rejected.
 All of it is grouped sums and mergeable quantiles on a narrow table, so a group of any size is combined before it is shuffled."""
 
 from __future__ import annotations
@@ -9,14 +10,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import beside, cut
 
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
 SPACES = "\x20\t\n\x0b\x0c\r"
 _GAP = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
-#: Share of rows a concentration step keeps, number of steps, and the least rows of a group; smaller ones are taken together by language, then all.
-KEEP, STEPS, LEAST_ROWS = 0.75, 3, 50
+#: Share of rows a concentration step keeps; the least rows of a group, smaller ones are taken together by language, then all.
+KEEP, LEAST_ROWS = 0.75, 50
+#: Starts beside the medians' with the rows of each on average, steps of all starts, then most steps of the best, and the change of the determinant's logarithm that ends them.
+STARTS, SUBSET, TRIAL, STEPS, STILL = 4, 16, 2, 20, 1e-4
+#: Of quantiles: ranks are right to one in so many.
+RANKS = 10_000
 #: The 97.5 % point of chi-squared in four dimensions, and what the covariance of the nearest three quarters is short of that of all: 0.75 / P(chi-squared in six <= 5.385).
 CUTOFF, CONSISTENCY = 11.143, 1.486
 #: Statistics and the spread that each has at least, where its estimate is smaller: log mean word length, symbols a word, share of capitals, share of repeated lines.
@@ -61,10 +66,11 @@ def _grouped(stats: DataFrame) -> DataFrame:
     """Adds g, the group by which a row is judged: language and source, or what these leave too few rows."""
     lang, source = F.coalesce("lang", F.lit("\x00")), F.coalesce("source", F.lit("\x00"))
     stats = stats.withColumn("_a", lang).withColumn("_b", F.concat_ws("\x01", lang, source))
-    fine = stats.groupBy("_b").agg(F.count("*").alias("_n"))
-    coarse = stats.join(fine.where(F.col("_n") < LEAST_ROWS), "_b", "left_semi").groupBy("_a").agg(F.count("*").alias("_m"))
-    placed = stats.join(fine, "_b").join(coarse, "_a", "left")
-    return placed.withColumn("g", F.when(F.col("_n") >= LEAST_ROWS, F.col("_b")).when(F.col("_m") >= LEAST_ROWS, F.col("_a")).otherwise("")).drop("_a", "_b", "_n", "_m")
+    fine = cut(stats.groupBy("_b").agg(F.first("_a").alias("_l"), F.count("*").alias("_n")))
+    coarse = fine.where(F.col("_n") < LEAST_ROWS).groupBy("_l").agg(F.sum("_n").alias("_m"))
+    g = F.when(F.col("_n") >= LEAST_ROWS, F.col("_k")).when(F.col("_m") >= LEAST_ROWS, F.col("_l")).otherwise("")
+    named = cut(fine.join(coarse, "_l", "left").select(F.col("_b").alias("_k"), "_n", "_m", "_l").select("_k", g.alias("g")))
+    return beside(stats, named, F.col("_b") == F.col("_k"), named.count()).drop("_a", "_b", "_k")
 
 
 def _factor(c: dict[tuple[int, int], Column]) -> dict[tuple[int, int], Column]:
@@ -93,23 +99,65 @@ def _distance(rows: DataFrame) -> DataFrame:
     return rows.withColumn("d", sum((F.col(f"_y{i}") * F.col(f"_y{i}") for i in range(1, 4)), F.col("_y0") * F.col("_y0"))).drop(*[f"_y{i}" for i in range(4)])
 
 
-def robust_estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
-    """(g, m0..m3, l00..l33): location and Cholesky factor of each group after `steps` concentration steps. Rows need g and the four statistics."""
-    middle = rows.groupBy("g").agg(*[F.percentile_approx(x, 0.5, 1000).alias(f"m{i}") for i, x in enumerate(_X)])
-    off = rows.join(middle, "g").groupBy("g").agg(*[F.percentile_approx(F.abs(F.col(x) - F.col(f"m{i}")), 0.5, 1000).alias(f"s{i}") for i, x in enumerate(_X)])
-    estimate = middle.join(off, "g").select("g", *[f"m{i}" for i in range(4)], *[(F.sqrt(_variance(F.pow(1.4826 * F.col(f"s{i}"), F.lit(2)), _X[i])) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i, j in _PAIRS])
-    for _ in range(steps):
-        estimate = cut(estimate)
-        near = _distance(rows.join(estimate, "g")).select("g", *_X, "d")
-        limit = near.groupBy("g").agg(F.percentile_approx("d", KEEP, 1000).alias("h"))
-        kept = near.join(limit, "g").where("d <= h")
-        sums = kept.groupBy("g").agg(*[F.avg(x).alias(f"m{i}") for i, x in enumerate(_X)], *[F.covar_pop(_X[i], _X[j]).alias(f"c{i}{j}") for i, j in _PAIRS])
-        c = {(i, j): F.coalesce(F.col(f"c{i}{j}"), F.lit(0.0)) * CONSISTENCY for i, j in _PAIRS}
-        c |= {(i, i): _variance(c[i, i], _X[i]) for i in range(4)}
-        for (i, j), entry in _factor(c).items():
-            sums = sums.withColumn(f"l{i}{j}", entry)
-        estimate = sums.select("g", *[f"m{i}" for i in range(4)], *[f"l{i}{j}" for i, j in _PAIRS])
-    return cut(estimate)
+_M, _L = [f"m{i}" for i in range(4)], [f"l{i}{j}" for i, j in _PAIRS]
+
+
+def _estimate(sums: DataFrame, keys: list[str], variances: dict[tuple[int, int], Column]) -> DataFrame:
+    """Location, Cholesky factor and det, the logarithm of the covariance's determinant."""
+    for (i, j), entry in _factor({p: v if p[0] != p[1] else _variance(v, _X[p[0]]) for p, v in variances.items()}).items():
+        sums = sums.withColumn(f"l{i}{j}", entry)
+    return sums.select(*keys, *_M, *_L, (2 * sum((F.log(F.col(f"l{i}{i}")) for i in range(1, 4)), F.log(F.col("l00")))).alias("det"))
+
+
+def _moments(over: Column) -> list[Column]:
+    """Sums, over rows for which `over` holds, of 1, the statistics about m0..m3, and their products."""
+    x = [F.when(over, F.col(n) - F.col(m)) for n, m in zip(_X, _M)]
+    return [F.count_if(over), *[F.sum(v) for v in x], *[F.sum(x[i] * x[j]) for i, j in _PAIRS]]
+
+
+def _step(rows: DataFrame, estimate: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """One concentration step of each estimate: exactly KEEP of a group's rows count; of rows at the last distance each counts in part."""
+    estimate = estimate.withColumnRenamed("g", "_g")
+    near = _distance(beside(rows, estimate, F.col("g") == F.col("_g"), n, "inner"))
+    limit = near.groupBy(*keys).agg(F.percentile_approx("d", KEEP, RANKS).alias("h"), F.count("*").alias("all"))
+    limit = cut(limit.select(*[F.col(k).alias(f"_{k}") for k in keys], "h", "all"))
+    same = F.col("g") == F.col("_g")
+    for k in keys[1:]:
+        same &= F.col(k) == F.col(f"_{k}")
+    near = beside(near.drop("_g"), limit, same, n, "inner")
+    names = ["n", *[f"e{i}" for i in range(4)], *[f"p{i}{j}" for i, j in _PAIRS]]
+    inside, edge = ([c.alias(f"{t}_{name}") for c, name in zip(_moments(over), names)] for t, over in (("in", F.col("d") < F.col("h")), ("at", F.col("d") == F.col("h"))))
+    sums = near.groupBy(*keys).agg(F.first("all").alias("all"), *[F.first(m).alias(m) for m in _M], *inside, *edge)
+    part = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (KEEP * F.col("all") - F.col("in_n")) / F.greatest(F.col("at_n"), F.lit(1))))
+    whole = lambda name: F.coalesce(F.col(f"in_{name}"), F.lit(0.0)) + F.col("_w") * F.coalesce(F.col(f"at_{name}"), F.lit(0.0))
+    sums = sums.withColumn("_w", part).select(*keys, *_M, *[whole(name).alias(name) for name in names])
+    sums = sums.select(*keys, *_M, *[(F.col(name) / F.col("n")).alias(name) for name in names[1:]])
+    spread = {(i, j): (F.col(f"p{i}{j}") - F.col(f"e{i}") * F.col(f"e{j}")) * CONSISTENCY for i, j in _PAIRS}
+    sums = sums.select(*keys, *[(F.col(m) + F.col(f"e{i}")).alias(m) for i, m in enumerate(_M)], *[v.alias(f"c{i}{j}") for (i, j), v in spread.items()])
+    return cut(_estimate(sums, keys, {(i, j): F.col(f"c{i}{j}") for i, j in _PAIRS}))
+
+
+def robust_estimates(rows: DataFrame) -> DataFrame:
+    """(g, m0..m3, l00..l33, det): location and Cholesky factor of each group by minimum covariance determinant. Rows need g and the four statistics, without nulls; no rows: no groups."""
+    rows = cut(rows.select("g", *_X))
+    sizes = cut(rows.groupBy("g").agg(F.count("*").alias("_n"), *[F.percentile_approx(x, 0.5, RANKS).alias(f"m{i}") for i, x in enumerate(_X)]).withColumnRenamed("g", "_g"))
+    n = sizes.count()
+    placed = beside(rows, sizes, F.col("g") == F.col("_g"), n, "inner")
+    off = placed.groupBy("g").agg(*[F.first(m).alias(m) for m in _M], *[F.percentile_approx(F.abs(F.col(x) - F.col(m)), 0.5, RANKS).alias(f"s{i}") for i, (x, m) in enumerate(zip(_X, _M))])
+    middle = _estimate(off, ["g"], {(i, j): F.pow(1.4826 * F.col(f"s{i}"), F.lit(2)) if i == j else F.lit(0.0) for i, j in _PAIRS}).withColumn("start", F.lit(0))
+    picks = F.filter(F.array(*[F.when(F.rand(17 + k) < SUBSET / F.col("_n"), F.lit(k)) for k in range(1, STARTS + 1)]), lambda k: k.isNotNull())
+    some = placed.select("g", *_X, F.explode(picks).alias("start")).groupBy("g", "start").agg(*[F.avg(x).alias(f"m{i}") for i, x in enumerate(_X)], *[F.covar_pop(_X[i], _X[j]).alias(f"c{i}{j}") for i, j in _PAIRS])
+    starts = cut(middle.unionByName(_estimate(some, ["g", "start"], {(i, j): F.col(f"c{i}{j}") for i, j in _PAIRS})))
+    for _ in range(TRIAL):
+        starts = _step(rows, starts, ["g", "start"], n * (STARTS + 1))
+    best = cut(starts.groupBy("g").agg(F.min_by(F.struct(*_M, *_L, "det"), F.struct("det", "start")).alias("s")).select("g", "s.*"))
+    for _ in range(STEPS):
+        following = _step(rows, best, ["g"], n)
+        change = following.select("g", F.col("det").alias("_d")).join(best, "g").agg(F.max(F.abs(F.col("_d") - F.col("det")))).first()[0]
+        best = following
+        if change is None or change < STILL:
+            break
+    return best
 
 
 def quality(docs: DataFrame) -> DataFrame:
@@ -122,6 +170,6 @@ def quality(docs: DataFrame) -> DataFrame:
     rows = cut(statistics(counts.withColumn("base_failed", failed)))
     rows = cut(_grouped(rows))
     estimate = robust_estimates(rows.where("not base_failed").select("g", *_X))
-    judged = _distance(rows.join(estimate, "g", "left"))
+    judged = _distance(beside(rows, estimate.withColumnRenamed("g", "_g"), F.col("g") == F.col("_g"), estimate.count()))
     kept = ~F.col("base_failed") & F.coalesce(F.col("d") <= CUTOFF, F.lit(True))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.col("d").alias("distance"))

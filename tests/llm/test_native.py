@@ -246,3 +246,51 @@ def test_fingerprints_against_brute_force(odd, make):
                 assert r.near_next == 1
     assert fingerprints.fingerprints(odd).count() == len(ODD) and fingerprints.fingerprints(make([])).count() == 0
     assert fingerprints.fingerprints(make([(1, "alone in the table, and its own next")])).first().near_next == 1
+
+
+def test_determinant_is_as_small_as_brute_force_finds(spark):
+    """Against concentration from 300 random starts in numpy, with a third of the rows in a far cluster and with many equal rows."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 4)) @ rng.normal(size=(4, 4)) * 2
+    x[:75] = x[:75] * 0.3 + [14, -9, 11, 8]
+    y = rng.normal(size=(200, 4)) * 2 + 3
+    y[:100] = y[0]
+    df = spark.createDataFrame([(g, *map(float, r)) for g, rows in (("x", x), ("y", y)) for r in rows], "g string, x1 double, x2 double, x3 double, x4 double")
+    got = {r.g: r for r in outliers.robust_estimates(df).collect()}
+    least = np.array(list(outliers.SPREADS.values())) ** 2
+    little = np.array(list(outliers.FLOORS.values())) ** 2
+
+    def spread(c):
+        c = c.copy()
+        c[np.diag_indices(4)] = np.maximum(np.diag(c), least) + little
+        return c
+
+    for g, rows in (("x", x), ("y", y)):
+        h, best = int(len(rows) * outliers.KEEP), math.inf
+        for _ in range(300):
+            some = rows[rng.choice(len(rows), 16, replace=False)]
+            m, c = some.mean(0), spread(np.cov(some.T, bias=True))
+            for _ in range(30):
+                near = rows[np.argsort(((rows - m) @ np.linalg.inv(c) * (rows - m)).sum(1), kind="stable")[:h]]
+                m, c = near.mean(0), spread(np.cov(near.T, bias=True) * outliers.CONSISTENCY)
+            best = min(best, np.linalg.slogdet(c)[1])
+        assert got[g].det <= best + 0.1, g  # five starts against 300
+
+
+def test_equal_rows_count_in_part(spark):
+    """Of rows at one distance exactly three quarters count: equal rows beside a few others leave the others out."""
+    rows = [("g", 1.0, 0.0, 0.0, 0.0)] * 90 + [("g", 5.0, 1.0, 1.0, 1.0)] * 10
+    got = outliers.robust_estimates(spark.createDataFrame(rows, "g string, x1 double, x2 double, x3 double, x4 double")).first()
+    assert (got.m0, got.m1) == (1.0, 0.0) and got.l00 == pytest.approx(math.hypot(0.15, 0.0015), rel=1e-6)
+    assert outliers.robust_estimates(spark.createDataFrame([], "g string, x1 double, x2 double, x3 double, x4 double")).count() == 0
+
+
+def test_salted_join_is_the_same(spark):
+    from pyspark.sql import functions as F
+
+    from quern.llm.common import beside
+
+    rows = spark.range(500).selectExpr("id", "if(id % 3 = 0, null, id % 7) as k")
+    table = spark.createDataFrame([(None, "n"), (1, "a"), (2, "b")], "q long, v string")
+    a, b = (sorted(map(tuple, beside(rows, table, F.col("k").eqNullSafe(F.col("q")), n).collect()), key=str) for n in (3, 1 << 60))
+    assert a == b and len(a) == 500
