@@ -2,6 +2,9 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
+
+from quern.llm import jaccard
 from quern.llm.components import connected_components
 from quern.llm.jaccard import near_duplicate_classes
 
@@ -83,3 +86,29 @@ def test_components(spark):
     got = {r.u: r.root for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {v: min(g) for v, g in group.items() if len(g) > 1}
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_sets_under_one_hash_are_told_apart(make):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(3))
+    texts = [" ".join(word() for _ in range(rng.randrange(5, 30))) for _ in range(120)]
+    texts += texts[:30] + [edited(t.split(), rng, 1) for t in texts[:30]]
+    rows = list(enumerate(texts))
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in near_duplicate_classes(make(rows), bits=5).collect()), key=str)
+    assert got == brute(rows)
+
+
+def test_a_shingle_of_all_sets_goes_to_no_bucket(make):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(3))
+    passage = " ".join(word() for _ in range(30))
+    rows = [(k, passage + " " + " ".join(word() for _ in range(rng.randrange(1, 40)))) for k in range(300)]
+    docs = make(rows)
+    known = jaccard.Sets(docs)
+    assert 20 <= len(known.hot) <= 200 and known.counts.max() > 250
+    most = 0
+    for r in jaccard._entries(docs, 5, 1, known).collect():
+        tokens = jaccard._whole(np.frombuffer(r.hash, np.uint8))
+        most = max(most, np.unique(tokens, return_counts=True)[1].max())
+    assert most < 10
+    assert result(docs) == brute(rows)
