@@ -33,8 +33,9 @@ def worker_cache() -> dict:
 def alone(cache: dict) -> None:
     """Frees what other operators have kept in this worker, which they share in a pipeline."""
     for other in _CACHES:
-        if other is not cache:
+        if other and other is not cache:
             other.clear()
+            pa.default_memory_pool().release_unused()
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -286,7 +286,7 @@ def fit(docs: DataFrame, vocabulary_path: str | None = None, most: int = 200_000
 class _Scorer:
     """Word scores behind a cache, emptied at `most` words."""
 
-    def __init__(self, model: Model, most: int = 600_000) -> None:
+    def __init__(self, model: Model, most: int = 200_000) -> None:
         self.model, self.most = model, most
         self.clear()
 

@@ -90,16 +90,17 @@ def along_curve(docs: DataFrame, part_mb: float = 12, sample_per_part: int = 64)
     return keyed.repartitionById(parts, F.col("_place.part")).sortWithinPartitions("_place.key", "doc_id", "text")
 
 
-def pack(docs: DataFrame, length: int = LENGTH, end_id: int = END_ID, vocabulary_path: str | None = None, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, length: int = LENGTH, end_id: int = END_ID, vocabulary_path: str | None = None, with_ids: bool = False, cached: int = 120_000) -> DataFrame:
     """Packs each row's ids and the end id into sequences of at most `length`, neighbours on the curve together; one row per piece.
 
     Each range of the curve is one running stream, cut every `length` ids; what is left at its end is cut into powers of two, so nothing
     is padded. sequence_id: number of the range times 2**32 plus the sequence's in it. Null text: empty. Repeated rows are packed as often as they
-    come. Empty table: no rows. Other columns are ignored."""
+    come. Empty table: no rows. Other columns are ignored.
+    A worker keeps the ids of at most twice `cached` pieces of text."""
     vocabulary_path = vocabulary_path or vocabulary("word_bpe_49k.json")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, sequence = word_encoder(vocabulary_path), TaskContext.get().partitionId() << 32
+        encoder, sequence = word_encoder(vocabulary_path, cached), TaskContext.get().partitionId() << 32
         out: list[tuple] = []
         open_pieces: list[tuple] = []  # of the sequence that isn't full: doc_id, start, doc_tokens, ids
         fill = 0

@@ -127,15 +127,16 @@ class WordEncoder:
         return np.frombuffer(b"".join(own), np.int32), at
 
 
-_ENCODERS: dict[str, WordEncoder] = worker_cache()
+_ENCODERS: dict[tuple[str, int], WordEncoder] = worker_cache()
 
 
-def word_encoder(path: str) -> WordEncoder:
-    """One per Python worker."""
+def word_encoder(path: str, most: int = 400_000) -> WordEncoder:
+    """One per Python worker. A piece in the cache takes about 200 bytes, and there are up to twice `most`."""
     alone(_ENCODERS)
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    if (path, most) not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path, most] = WordEncoder(path, most)
+    return _ENCODERS[path, most]
 
 
 def crc32(ids: np.ndarray) -> int:
