@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
-from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .codecs import Malformed, base58_encode, short_decode, short_encode, varint_decode, varint_encode
+from .codecs import Malformed, base58_encode_all, short_decode, short_encode, varint_decode, varint_encode
 
 # ---------------------------------------------------------------- transactions
 
@@ -238,12 +239,6 @@ def build_metadata(fee: int, pre: list[int], post: list[int], logs: list[str] |
 # ---------------------------------------------------------------- columns
 
 
-@lru_cache(1 << 17)
-def _key_text(key: bytes) -> str:
-    """base58; keys come again and again, so the latest ones are kept."""
-    return base58_encode(key)
-
-
 _IX = "array<struct<program:int,accounts:array<int>,data:binary>>"
 OUTER = f"struct<signatures:array<binary>,version:int,keys:array<binary>,instructions:{_IX},lookups:int>"
 _TOKEN = "array<struct<account_index:long,mint:string,owner:string,ui_amount:string>>"
@@ -274,12 +269,20 @@ def decode_transaction(data: Column | str) -> Column:
 def decode_metadata(data: Column | str) -> Column:
     """struct of the metadata; null for none and for bytes that can't be read."""
     kind = pa.struct([("err", pa.string()), ("fee", _BIG), ("pre", pa.list_(_BIG)), ("post", pa.list_(_BIG)), ("inner", pa.list_(pa.struct([("index", pa.int32()), ("instructions", _PA_IX)]))), ("logs", pa.list_(pa.string())), ("pre_tokens", _PA_TOKEN), ("post_tokens", _PA_TOKEN), ("writable", pa.list_(pa.binary())), ("readonly", pa.list_(pa.binary()))])
-    return F.arrow_udf(lambda c: pa.array([_soft(parse_metadata)(x) for x in c.to_pylist()], kind), META)(data)
+    one = _soft(parse_metadata)
+    return F.arrow_udf(lambda c: pa.array(list(map(one, c.to_pylist())), kind), META)(data)
 
 
 def text_keys(keys: Column) -> Column:
-    """base58 of an array of binary."""
-    return F.arrow_udf(lambda c: pa.array([None if x is None else [_key_text(k) for k in x] for x in c.to_pylist()], pa.list_(pa.string())), "array<string>")(keys)
+    """base58 of an array of binary. Each different key of a batch is divided once."""
+
+    def run(column: pa.Array) -> pa.Array:
+        flat = pc.dictionary_encode(column.flatten())
+        names = pa.array(base58_encode_all(flat.dictionary.to_pylist()), pa.string())
+        offsets = np.concatenate(([0], np.cumsum(np.array(pc.fill_null(pc.list_value_length(column), 0), np.int64)))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), names.take(flat.indices), mask=column.is_null())
+
+    return F.arrow_udf(run, "array<string>")(keys)
 
 
 def all_keys(tx: Column, meta: Column) -> Column:

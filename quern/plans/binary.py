@@ -78,12 +78,18 @@ def _decoded(df: DataFrame, name: str, json: F.Column, cut: F.Column | None = No
     return df.withColumn("p", borsh.typed(F.col("d.data"), IDL.payload(_event(name))))
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Rows in as many partitions as there are cores: the work on a row is far dearer than its bytes, by which files are split."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def _micros() -> F.Column:
     return F.unix_micros(F.col("ts").cast("timestamp"))
 
 
 def _events(spark, d) -> DataFrame:
-    return table(spark, d, "events").select("event_id", "user_id", "event_type", "value", _micros().alias("ts"))
+    return _spread(table(spark, d, "events").select("event_id", "user_id", "event_type", "value", _micros().alias("ts")))
 
 
 @register("SELECT event_id, user_id, event_type, value, epoch_us(ts) AS ts FROM events")
@@ -144,9 +150,13 @@ def cpi_event(spark, d):
     return rows.select("event_id", "d.kind", borsh.typed(F.col("d.data"), IDL.payload(_event("Tail")))["user_id"].alias("user_id"))
 
 
+def _lines(spark, d) -> DataFrame:
+    return _spread(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity"))
+
+
 @register("SELECT l_orderkey AS orderkey, l_linenumber::BIGINT AS linenumber, l_suppkey AS suppkey, l_quantity AS quantity FROM lineitem")
 def ix_decode(spark, d):
-    li = table(spark, d, "lineitem").select(_json(F.col("l_orderkey").alias("orderkey"), F.col("l_linenumber").alias("linenumber"), F.col("l_suppkey").alias("suppkey"), F.col("l_quantity").alias("quantity")).alias("j"))
+    li = _lines(spark, d).select(_json(F.col("l_orderkey").alias("orderkey"), F.col("l_linenumber").alias("linenumber"), F.col("l_suppkey").alias("suppkey"), F.col("l_quantity").alias("quantity")).alias("j"))
     text = li.select(codecs.to_base58(borsh.encode("j", IDL, "line", "instructions")).alias("b58"))
     rows = text.select(borsh.decode(codecs.from_base58("b58"), IDL, "instructions").alias("d"))
     p = rows.select(borsh.typed(F.col("d.data"), IDL.payload(next(i for i in IDL.instructions.values() if i.name == "line"))).alias("p"))
@@ -155,7 +165,7 @@ def ix_decode(spark, d):
 
 @register("SELECT l_orderkey AS orderkey, 'line' AS name, l_suppkey AS suppkey FROM lineitem")
 def ix_inline_json(spark, d):
-    li = table(spark, d, "lineitem").select(_json(F.col("l_orderkey").alias("orderkey"), F.col("l_linenumber").alias("linenumber"), F.col("l_suppkey").alias("suppkey"), F.col("l_quantity").alias("quantity")).alias("j"))
+    li = _lines(spark, d).select(_json(F.col("l_orderkey").alias("orderkey"), F.col("l_linenumber").alias("linenumber"), F.col("l_suppkey").alias("suppkey"), F.col("l_quantity").alias("quantity")).alias("j"))
     rows = li.select(borsh.decode(borsh.encode("j", IDL, "line", "instructions"), IDL, "instructions").alias("d"))
     inline = rows.select(F.concat(F.lit('{"name":"'), "d.name", F.lit('","args":'), "d.data", F.lit("}")).alias("data"))
     return inline.select(F.get_json_object("data", "$.args.orderkey").cast("long").alias("orderkey"), F.get_json_object("data", "$.name").alias("name"), F.get_json_object("data", "$.args.suppkey").cast("long").alias("suppkey"))
@@ -283,7 +293,7 @@ def _transaction_bytes(orders: DataFrame) -> DataFrame:
 
 
 def _tx(spark, d) -> DataFrame:
-    return _transaction_bytes(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate"))
+    return _transaction_bytes(_spread(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")))
 
 
 @register("SELECT o_orderkey AS slot, 1 AS n_signatures, 3 AS n_keys, 2 AS n_instructions, o_orderkey % 2 = 1 AS versioned FROM orders")

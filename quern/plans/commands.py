@@ -28,7 +28,8 @@ def targets(text: str) -> list[bytes]:
 
 def ingest(spark: SparkSession, path: str, programs: list[bytes] | None = None, strict_lookup: bool = False, **options: str) -> DataFrame:
     """Transaction records of archives. Only transaction, block and frame nodes are parsed; filter, decode and map follow in one stage, nothing is shuffled."""
-    nodes = archive.read_archives(spark, path, kinds=[archive.TRANSACTION, archive.BLOCK, archive.FRAME], **options).where("kind = 0")
+    keys = programs if programs and not strict_lookup else None
+    nodes = archive.read_archives(spark, path, [archive.TRANSACTION], ["kind", "slot", "block_time", "tx_data", "meta_data"], keys, **options).where("kind = 0")
     return transactions.records(nodes.select("slot", "block_time", "tx_data", "meta_data"), programs, strict_lookup)
 
 
@@ -39,7 +40,7 @@ def with_text_data(records: DataFrame) -> DataFrame:
     kind = records.schema["instructions"].dataType.elementType
     if kind["data"].dataType.simpleString() == "string":
         return records
-    text = F.arrow_udf(lambda c: pa.array([None if x is None else [None if y is None else codecs.base58_encode(y) for y in x] for x in c.to_pylist()], pa.list_(pa.string())), "array<string>")
+    text = F.arrow_udf(lambda c: pa.array([None if x is None else codecs.base58_encode_all(x) for x in c.to_pylist()], pa.list_(pa.string())), "array<string>")
     rows = records.withColumn("_d", text(F.transform("instructions", lambda i: i["data"])))
     return rows.withColumn("instructions", F.zip_with("instructions", "_d", lambda i, t: F.struct(i["program_id"].alias("program_id"), t.alias("data"), i["accounts"].alias("accounts")))).drop("_d")
 
@@ -75,7 +76,8 @@ def decode_lines(records: DataFrame, idl: Idl, mode: str) -> DataFrame:
 
 
 def inspect(spark: SparkSession, path: str) -> DataFrame:
-    return archive.inspect(archive.read_archives(spark, path))
+    """Counts of nodes by kind, and first and last slots; only heads and slots are looked at."""
+    return archive.inspect(archive.read_archives(spark, path, columns=["file", "kind", "slot", "pos"], numbered=False))
 
 
 def main(argv: list[str] | None = None) -> None:

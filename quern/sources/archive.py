@@ -1,8 +1,8 @@
 """Content-addressed ledger archives as a Spark data source.
 
 An archive is a header and a sequence of length-prefixed sections: a content id and a CBOR node. Nodes up to and including a block node are one group;
-links point into the group only. The reader makes one pass over the section heads of each file to cut it into ranges of whole groups,
-so a file of any size is read by many tasks; each task seeks to its range and holds one group at a time.
+links point into the group only. Planning looks at the sizes of files alone: a file is cut by bytes, and each task finds the first sound section of its range by itself.
+A group belongs to the range in which the block before it begins, so ranges fit together without an index; a task holds one group at a time.
 
     spark.dataSource.register(ArchiveSource)
     spark.read.format("car").option("mode", "PERMISSIVE").load("/archives/*.car").where("kind in (0, 2)")
@@ -10,10 +10,8 @@ so a file of any size is read by many tasks; each task seeks to its range and ho
 
 from __future__ import annotations
 
-import glob
 import itertools
-import mmap
-import os
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,12 +20,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
 
+from . import files
 from ..functions.codecs import Link, Malformed, cbor_decode, cbor_encode, checksum_ok, crc64, varint_decode, varint_encode
 
 # fixed values: node kinds by their number
 KINDS = ("transaction", "entry", "block", "subset", "epoch", "rewards", "frame")
 TRANSACTION, ENTRY, BLOCK, SUBSET, EPOCH, REWARDS, FRAME = range(7)
-#: Largest header and section, and how far a reader looks for the next section after a damaged one.
+# fixed values: largest header and section, and how far a reader looks for the next section after a damaged one
 HEADER_MOST, SECTION_MOST, SEARCH = 1024, 32 << 20, 1 << 20
 SCHEMA = """file string, group_id long, pos long, cid binary, kind int, slot long, payload binary,
 tx_index long, tx_data binary, meta_data binary, meta_error string, num_hashes long, hash binary, links array<binary>,
@@ -133,6 +132,21 @@ def resume(data, at: int, end: int) -> int | None:
     return weak
 
 
+def first_sound(data, at: int, end: int) -> int | None:
+    """The first place from `at` on where a section with a SHA-256 content id starts that another one or the end follows. Found by the content id's fixed bytes, so a section of any size is skipped fast."""
+    mark = at
+    while (mark := data.find(b"\x12\x20", mark, end)) >= 0:
+        for body in (mark, mark - 2):
+            for width in range(1, 6):
+                place = body - width
+                if place >= at and _sound(data, place, end) and varint_decode(data[place : place + 10])[1] == width:
+                    after = _head(data, place, end)
+                    if after == end or _sound(data, after, end):
+                        return place
+        mark += 1
+    return None
+
+
 def header_end(data) -> int:
     size, at = varint_decode(data[:10])
     if not 0 < size <= HEADER_MOST:
@@ -194,23 +208,19 @@ def parse_node(payload: bytes) -> dict:
 
 
 def reassemble(first: dict, nodes: dict[bytes, dict]) -> bytes:
-    """Bytes of a chain of frames, ordered by index and checked; a single frame is its own bytes, whatever it links to."""
-    if (first["total"] or 1) <= 1:
-        data, count = first["data"], 1
-    else:
-        frames, todo = [first], list(first["next"])
-        while todo:
-            node = nodes.get(todo.pop())
-            if node is None or node["kind"] != FRAME:
-                raise Malformed("a frame is missing")
-            frames.append(node)
-            todo += node["next"]
-            if len(frames) > first["total"]:
-                break
-        count = len(frames)
-        if count != first["total"]:
-            raise Malformed("number of frames")
-        data = b"".join(f["data"] for f in sorted(frames, key=lambda f: f["index"] or 0))
+    """Bytes of data cut into `total` frames: those that are linked from the first on, each at the place its index says, checked. With a total of none or 1 the first frame is all, whatever it links to."""
+    total = first["total"] or 1
+    found = [first]
+    for f in found if total > 1 else ():
+        linked = [nodes.get(x) for x in f["next"]]
+        if None in linked:
+            raise Malformed("a frame is missing")
+        found += linked
+        if len(found) > total:
+            break
+    if len(found) != total and total > 1:
+        raise Malformed("number of frames")
+    data = b"".join(f["data"] for f in sorted(found, key=lambda f: f["index"] or 0))
     if not checksum_ok(data, first["hash"]):
         raise Malformed("checksum")
     return data
@@ -219,36 +229,18 @@ def reassemble(first: dict, nodes: dict[bytes, dict]) -> bytes:
 # ---------------------------------------------------------------- source
 
 
-@dataclass
 class Range(InputPartition):
-    path: str
-    start: int
-    end: int
-    group: int
-    pos: int
+    """Groups of a file whose preceding block begins in [start, end), and the first group if start is 0; group and pos: how many there are before, or None for places in bytes."""
 
-    def __init__(self, path: str, start: int, end: int, group: int, pos: int) -> None:
+    def __init__(self, path: str, start: int, end: int, base: tuple[int, int] | None = None) -> None:
         super().__init__(None)
-        self.path, self.start, self.end, self.group, self.pos = path, start, end, group, pos
+        self.path, self.start, self.end, self.base = path, start, end, base
 
 
-def ranges(path: str, target: int, permissive: bool) -> list[Range]:
-    """Cuts a file after block nodes into ranges of about `target` bytes; only heads of sections are looked at, and blocks are parsed as a damaged one doesn't end its group."""
-    if not os.path.getsize(path):
-        return []
-    with open(path, "rb") as f, mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as data:
-        start = header_end(data)
-        out, group, pos, first = [], 0, 0, (0, 0)
-        for s in sections(data, start, len(data), permissive):
-            pos += 1
-            if peek_kind(s.payload) == BLOCK and _parses(s.payload):
-                group += 1
-                if s.end - start >= target:
-                    out.append(Range(path, start, s.end, *first))
-                    start, first = s.end, (group, pos)
-        if start < len(data):
-            out.append(Range(path, start, len(data), *first))
-    return out
+def ranges(path: str, size: int, target: int, bases: dict | None = None) -> list[Range]:
+    """Cuts a file of `size` bytes, of which nothing is read."""
+    cuts = [*range(0, max(size - target // 2, 1), target), size] if size else []
+    return [Range(path, a, b, None if bases is None else tuple(bases[f"{path}:{a}"])) for a, b in itertools.pairwise(cuts)]
 
 
 def _parses(payload: bytes) -> bool:
@@ -259,110 +251,190 @@ def _parses(payload: bytes) -> bool:
     return True
 
 
-def _row(path: str, group: int, pos: int, s: Section, kind: int | None, node: dict | None, resolve: dict | None, block_time: int | None, whole_data: bool) -> tuple:
-    n = node or {}
-    slot = n.get("slot")
-    tx = meta = error = None
-    if kind == TRANSACTION and node:
-        tx = n["data"]["data"]
-        if resolve is not None:
+@dataclass
+class Wanted:
+    """What a reader gives: kinds (None: all), columns, and whether transactions that hold none of `keys` are left out before their frames are put together."""
+
+    kinds: set[int] | None = None
+    columns: tuple[str, ...] = tuple(_ARROW.names)
+    keys: tuple[bytes, ...] = ()
+    permissive: bool = True
+    whole_data: bool = False
+
+    @property
+    def frames(self) -> bool:
+        return (self.kinds is None or TRANSACTION in self.kinds) and bool({"meta_data", "meta_error", *(["tx_data"] if self.whole_data else [])} & {*self.columns})
+
+
+def _row(place: tuple, s: Section, kind: int | None, n: dict, resolve: dict, block_time: int | None, want: Wanted) -> dict:
+    path, group, pos = place
+    row = {"file": path, "group_id": group, "pos": pos, "cid": s.cid, "kind": kind, "slot": _signed(n.get("slot")), "payload": s.payload, "num_hashes": _signed(n.get("num_hashes")), "links": [bytes(x) for x in n.get("links", n.get("next", []))], "block_time": block_time}
+    row |= {k: _signed(n.get(k)) for k in ("parent_slot", "block_height", "first", "last", "epoch")}
+    if kind == TRANSACTION:
+        row |= {"tx_index": _signed(n["index"]), "tx_data": n["data"]["data"]}
+        if want.frames:
             try:
-                if whole_data:
-                    tx = reassemble(n["data"], resolve)
-                meta = reassemble(n["metadata"], resolve) or None
+                if want.whole_data:
+                    row["tx_data"] = reassemble(n["data"], resolve)
+                row["meta_data"] = reassemble(n["metadata"], resolve) or None
             except Malformed as e:
-                error = str(e)
-        else:
-            meta = n["metadata"]["data"] or None
-    frame = n if kind == FRAME and node else {}
-    return (
-        path, group, pos, s.cid, kind, _signed(slot), s.payload, _signed(n.get("index")) if kind == TRANSACTION else None, tx, meta, error, _signed(n.get("num_hashes")), n.get("hash") if kind == ENTRY else None,
-        [bytes(x) for x in n.get("links", n.get("next", []))] if node else None, _signed(n.get("parent_slot")), _signed(n.get("block_time")) if kind == BLOCK else block_time, _signed(n.get("block_height")),
-        _signed(n.get("first")), _signed(n.get("last")), _signed(n.get("epoch")), frame.get("hash"), _signed(frame.get("index")), _signed(frame.get("total")), frame.get("data"),
-    )
-
-
-def read_range(r: Range, kinds: set[int] | None, permissive: bool, whole_data: bool = False) -> Iterator[tuple]:
-    """Rows of a range. block_time of a transaction is that of its group's block; metadata frames are put together within the group."""
-    with open(r.path, "rb") as f, mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as data:
-        need_frames = kinds is None or TRANSACTION in kinds
+                row["meta_error"] = str(e)
+    elif kind == ENTRY:
+        row["hash"] = n["hash"]
+    elif kind == BLOCK:
+        row["block_time"] = _signed(n["block_time"])
+    elif kind == FRAME:
+        row |= {"frame_hash": n["hash"], "frame_index": _signed(n["index"]), "frame_total": _signed(n["total"]), "frame_data": n["data"]}
+    return row
+
+
+def _groups(data, r: Range, permissive: bool) -> Iterator[tuple[int, Iterator[tuple[Section, int | None, dict | None]]]]:
+    """Sections of the range's own groups with their kind and, for blocks, the node; the second item is whether the group ends with it."""
+    size = len(data)
+    if r.start:
+        at, own = first_sound(data, r.start, size), False
+    else:
+        at, own = header_end(data), True
+    if at is None:
+        return
+    for s in sections(data, at, size, permissive):
+        kind = peek_kind(s.payload)
+        block = None
+        if kind == BLOCK:
+            try:
+                block = parse_node(s.payload)
+            except Malformed:
+                if not permissive:
+                    raise
+        if not own and s.at >= r.end:
+            return
+        if own:
+            yield s, kind, block
+        if block is not None:
+            own = r.start <= s.at < r.end
+            if not own and s.at >= r.end:
+                return
+
+
+def read_range(r: Range, want: Wanted) -> Iterator[dict]:
+    """Rows of a range. block_time of a transaction is that of its group's block; metadata frames are put together within the group, after the look for keys."""
+    with files.opened(r.path) as data:
         held: dict[bytes, tuple] = {}
-        group, pos = r.group, r.pos
+        group, pos = r.base or (None, 0)
+        name = r.path.rsplit("/", 1)[-1]
 
-        def flush() -> Iterator[tuple]:
-            nodes = {cid: n for cid, (_, _, _, n) in held.items() if n is not None}
-            time = next((_signed(n["block_time"]) for _, _, k, n in held.values() if k == BLOCK and n), None)
+        def flush() -> Iterator[dict]:
+            nodes = {cid: n for cid, (_, _, k, n) in held.items() if k == FRAME}
+            time = next((_signed(n["block_time"]) for _, _, k, n in held.values() if k == BLOCK), None)
             for p, s, k, n in held.values():
-                if kinds is None or k in kinds:
-                    yield _row(os.path.basename(r.path), group, p, s, k, n, nodes, time, whole_data)
+                if want.kinds is not None and k not in want.kinds:
+                    continue
+                # a key that a transaction names itself stands in its bytes; what only looks like one is sorted out later
+                if k == TRANSACTION and want.keys and not any(x in n["data"]["data"] for x in want.keys):
+                    continue
+                yield _row((name, group, p), s, k, n, nodes, time, want)
             held.clear()
 
-        for s in sections(data, r.start, r.end, permissive):
-            kind = peek_kind(s.payload)
+        for s, kind, node in _groups(data, r, want.permissive):
             pos += 1
+            if group is None:
+                group = s.at
             # blocks end groups; frames are looked up; other kinds that nobody asks for aren't parsed
-            if kinds is not None and kind not in kinds and kind != BLOCK and not (kind == FRAME and need_frames):
-                continue
-            try:
-                node = parse_node(s.payload)
-            except Malformed:
-                if not permissive:
-                    raise
-                continue
-            if s.cid in held:
-                held[s.cid] = (held[s.cid][0], s, kind, node)
-            else:
-                held[s.cid] = (pos, s, kind, node)
-            if kind == BLOCK:
-                yield from flush()
-                group += 1
+            if node is not None or want.kinds is None or kind in want.kinds or kind == FRAME and want.frames:
+                try:
+                    node = node or parse_node(s.payload)
+                except Malformed:
+                    if not want.permissive:
+                        raise
+                    continue
+                held[s.cid] = (held[s.cid][0] if s.cid in held else s.at if r.base is None else pos, s, node["kind"], node)
+                if node["kind"] == BLOCK:
+                    yield from flush()
+                    group = None if r.base is None else group + 1
         yield from flush()
 
 
+def _count(r: Range, permissive: bool) -> tuple[int, int]:
+    """Blocks that end groups of the range, and its sections."""
+    blocks = nodes = 0
+    with files.opened(r.path) as data:
+        for _, _, block in _groups(data, r, permissive):
+            nodes += 1
+            blocks += block is not None
+    return blocks, nodes
+
+
 class ArchiveReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
-        self.paths = sorted(p for x in options.get("path", "").split(",") if x for p in (glob.glob(f"{x}/*.car") if os.path.isdir(x) else glob.glob(x)))
-        self.permissive = options.get("mode", "PERMISSIVE").upper() != "FAILFAST"
-        self.target = int(options.get("splitbytes", 128 << 20))
-        self.whole_data = options.get("reassembletxdata", "false").lower() == "true"
-        self.kinds = {int(k) for k in options["kinds"].split(",")} if options.get("kinds") else None
+        self.paths = files.listed(options.get("path", ""), ".car")
+        self.target = max(256, int(options.get("splitbytes", 128 << 20)))
+        self.counts = options.get("counts", "false").lower() == "true"
+        self.bases = json.loads(options["bases"]) if options.get("bases") else None
+        self.want = Wanted(
+            {int(k) for k in options["kinds"].split(",")} if options.get("kinds") else None, tuple(options["columns"].split(",")) if options.get("columns") else tuple(_ARROW.names),
+            tuple(bytes.fromhex(k) for k in options["keys"].split(",")) if options.get("keys") else (), options.get("mode", "PERMISSIVE").upper() != "FAILFAST", options.get("reassembletxdata", "false").lower() == "true",
+        )
 
     def pushFilters(self, filters):
         for f in filters:
-            if isinstance(f, (EqualTo, In)) and f.attribute == ("kind",):
+            if isinstance(f, (EqualTo, In)) and f.attribute == ("kind",) and not self.counts:
                 found = {f.value} if isinstance(f, EqualTo) else set(f.value)
-                self.kinds = found if self.kinds is None else self.kinds & found
+                self.want.kinds = found if self.want.kinds is None else self.want.kinds & found
             yield f  # Spark checks again: a pushed filter only spares parsing
 
     def partitions(self):
-        return [r for p in self.paths for r in ranges(p, self.target, self.permissive)] or [Range("", 0, 0, 0, 0)]
+        return [r for p, n in self.paths for r in ranges(p, n, self.target, self.bases)] or [Range("", 0, 0)]
 
     def read(self, partition):
-        if partition.path:
-            rows = read_range(partition, self.kinds, self.permissive, self.whole_data)
-            while some := list(itertools.islice(rows, 2048)):
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*some, strict=True), _ARROW.types, strict=True)], schema=_ARROW)
+        if not partition.path:
+            return
+        if self.counts:
+            yield pa.RecordBatch.from_pylist([dict(zip(_COUNTS.names, (f"{partition.path}:{partition.start}", *_count(partition, self.want.permissive)), strict=True))], _COUNTS)
+            return
+        rows, schema = read_range(partition, self.want), pa.schema([_ARROW.field(c) for c in self.want.columns])
+        while some := list(itertools.islice(rows, 2048)):
+            yield pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in some], f.type) for f in schema], schema=schema)
+
+
+_COUNTS = pa.schema([("range", pa.string()), ("blocks", pa.int64()), ("nodes", pa.int64())])
 
 
 class ArchiveSource(DataSource):
-    """Options: mode PERMISSIVE (default: damaged nodes are left out) or FAILFAST; kinds, numbers to read; splitBytes; reassembleTxData."""
+    """Options: mode PERMISSIVE (default: damaged nodes are left out) or FAILFAST; kinds, numbers to read; columns to give; keys, in hex, of which a transaction must hold one; splitBytes;
+    reassembleTxData; bases and counts, as read_archives() uses them. Without bases group_id and pos are places in bytes, which ascend as counts do."""
 
     @classmethod
     def name(cls) -> str:
         return "car"
 
     def schema(self) -> str:
-        return SCHEMA
+        options = {k.lower(): v for k, v in self.options.items()}
+        if options.get("counts", "false").lower() == "true":
+            return "range string, blocks long, nodes long"
+        fields = {f.split()[0]: f for f in SCHEMA.replace("\n", " ").split(", ")}
+        return ", ".join(fields[c] for c in options["columns"].split(",")) if options.get("columns") else SCHEMA
 
     def reader(self, schema) -> ArchiveReader:
         return ArchiveReader({k.lower(): v for k, v in self.options.items()})
 
 
-def read_archives(spark: SparkSession, path: str, kinds: list[int] | None = None, **options: str) -> DataFrame:
+def read_archives(spark: SparkSession, path: str, kinds: list[int] | None = None, columns: list[str] | None = None, keys: list[bytes] | None = None, numbered: bool = True, **options: str) -> DataFrame:
+    """Nodes of archives. Where group_id or pos is asked for, and `numbered`, a first job counts the blocks and sections of each range, and both are numbers within the file."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(ArchiveSource)
     reader = spark.read.format("car").options(**options)
-    return (reader.option("kinds", ",".join(map(str, kinds))) if kinds else reader).load(path)
+    if numbered and (columns is None or {"group_id", "pos"} & {*columns}):
+        own = [(*r["range"].rsplit(":", 1), r.blocks, r.nodes) for r in spark.read.format("car").options(**options, counts="true").load(path).collect()]
+        bases: dict[str, tuple[int, int]] = {}
+        for _, file in itertools.groupby(sorted((p, int(at), b, n) for p, at, b, n in own), key=lambda x: x[0]):
+            group = pos = 0
+            for p, at, b, n in file:
+                bases[f"{p}:{at}"] = (group, pos)
+                group, pos = group + b, pos + n
+        reader = reader.option("bases", json.dumps(bases))
+    for name, value in (("kinds", ",".join(map(str, kinds or ()))), ("columns", ",".join(columns or ())), ("keys", ",".join(k.hex() for k in keys or ()))):
+        reader = reader.option(name, value) if value else reader
+    return reader.load(path)
 
 
 # ---------------------------------------------------------------- writer

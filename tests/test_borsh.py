@@ -2,7 +2,7 @@ import json
 import struct
 
 import pytest
-from hypothesis import given
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from quern.functions import borsh
@@ -75,9 +75,10 @@ def test_schemas_rename_and_collision():
     assert set(IDL.schemas("events")) == {"TradeEvent", "Inline"}  # a tuple has no columns
 
 
-_values = {"u8": st.integers(0, 255), "u64": st.integers(0, 2**53), "i64": st.integers(-(2**63), 2**63 - 1), "string": st.text(max_size=5), "bool": st.booleans()}
+_values = {"u8": st.integers(0, 255), "u64": st.integers(0, 2**53), "i64": st.integers(-(2**63), 2**63 - 1), "string": st.text("aZ0 é日\0😀", max_size=5), "bool": st.booleans()}
 
 
+@settings(deadline=None, suppress_health_check=[HealthCheck.too_slow])
 @given(st.data())
 def test_round_trip(data):
     name = data.draw(st.sampled_from(sorted(_values)))

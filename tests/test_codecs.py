@@ -1,3 +1,4 @@
+import random
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -59,3 +60,23 @@ def test_columns(spark):
     assert [r.b for r in rows] == [b"abc", None, b""]
     assert [r.t for r in rows] == [b"abc", None, None]
     assert rows[1].c is None
+
+
+def test_side_by_side_base58_equals_one_by_one():
+    rng = random.Random(3)
+    raw = [None] + [bytes(rng.randrange(256) for _ in range(n)) for n in (0, 1, 2, 7, 31, 32, 33, 64) for _ in range(50)] + [bytes(k) + b"\1" * (32 - k) for k in range(33)] + [b"\xff" * 32] * 3 + [bytes(700)]
+    texts = codecs.base58_encode_all(raw)
+    assert texts == [None if x is None else codecs.base58_encode(x) for x in raw]
+    odd = texts + ["0" + "1" * 43] * 40 + ["é" * 44] * 40 + ["1" * 44] * 40 + ["z" * 44] * 40 + [""]
+    assert codecs.base58_decode_all(odd) == [None if x is None else codecs.base58_decode(x) for x in odd]
+    assert codecs.base58_decode_all(texts) == raw
+
+
+def test_checksum_by_distance_equals_byte_by_byte():
+    rng = random.Random(4)
+    for n in (0, 1, 7, 8, 63, 64, 65, 500, 4095, 4096, 4097, 4159, 4160, 9000):
+        data = bytes(rng.randrange(256) for _ in range(n))
+        crc = 0xFFFFFFFFFFFFFFFF
+        for byte in data:
+            crc = codecs._CRC[(crc ^ byte) & 0xFF] ^ crc >> 8
+        assert codecs.crc64(data) == crc ^ 0xFFFFFFFFFFFFFFFF

@@ -1,6 +1,8 @@
 import base64
 import hashlib
 import os
+import random
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -8,7 +10,7 @@ from hypothesis import strategies as st
 
 from quern.functions import codecs, logs, transactions
 from quern.functions.codecs import Malformed
-from quern.sources import archive
+from quern.sources import archive, files
 
 KEYS = [hashlib.sha256(bytes([i])).digest() for i in range(6)]
 
@@ -153,3 +155,101 @@ def test_groups_pushdown_and_modes(spark, tmp_path):
     assert "BatchScan" in plan
     with pytest.raises(Exception):
         archive.read_archives(spark, str(tmp_path), mode="FAILFAST").count()
+
+
+def _ledger(rng, n=60):
+    """An archive of groups with frames, noise that looks like sections, and repeated nodes."""
+    nodes = []
+    for slot in range(1, n):
+        for k in range(rng.randrange(4)):
+            first, rest = archive.split_frames(bytes(rng.randrange(256) for _ in range(rng.randrange(1, 400))), 64)
+            nodes += [*rest, [archive.TRANSACTION, archive.frame(b"tx%d.%d" % (slot, k) + b"\x12\x20" * rng.randrange(3)), first, slot, k]]
+        if rng.random() < 0.2:
+            nodes.append([archive.ENTRY, 1, b"\x01\x71\x12\x20" + bytes(28), []])
+        nodes.append([archive.BLOCK, slot, [], [], [slot - 1, 1000 + slot, None], codecs.Link(b"r")])
+    return archive.archive([*nodes, [archive.EPOCH, 3, []]])
+
+
+@pytest.mark.parametrize("target", [256, 700, 3000, 1 << 30])
+def test_ranges_fit_together(tmp_path, target):
+    rng = random.Random(11)
+    for k in range(4):
+        path = tmp_path / f"epoch-{k}.car"
+        path.write_bytes(data := _ledger(rng))
+        whole = list(archive.read_range(archive.Range(str(path), 0, len(data)), archive.Wanted()))
+        cut = [r for part in archive.ranges(str(path), len(data), target) for r in archive.read_range(part, archive.Wanted())]
+        assert cut == whole and {r["kind"] for r in whole} >= {0, 2, 4, 6}
+        assert sum(archive._count(part, True)[1] for part in archive.ranges(str(path), len(data), target)) == len(list(archive.sections(data, archive.header_end(data), len(data))))
+
+
+def test_planning_reads_nothing(tmp_path):
+    """A file of 100 GB, with no block of it on disk, is cut at once."""
+    path = tmp_path / "epoch-9.car"
+    with open(path, "wb") as f:
+        f.truncate(100 << 30)
+    reader = archive.ArchiveReader({"path": str(tmp_path)})
+    began = time.time()
+    parts = reader.partitions()
+    assert len(parts) == 800 and time.time() - began < 1
+    assert [p.start for p in parts[1:]] == [p.end for p in parts[:-1]] and parts[-1].end == 100 << 30
+
+
+def test_only_transactions_with_a_key_are_put_together(tmp_path):
+    bad, _ = archive.split_frames(b"x" * 300, 64)  # its other frames are missing
+    tx = [[archive.TRANSACTION, archive.frame(b"a" * 9 + key), bad, 1, k] for k, key in enumerate(KEYS[:3])]
+    path = tmp_path / "a.car"
+    path.write_bytes(archive.archive([*tx, [archive.BLOCK, 1, [], [], [0, 1, None], codecs.Link(b"r")]]))
+    rows = list(archive.read_range(archive.Range(str(path), 0, 1 << 40), archive.Wanted({0}, keys=(KEYS[1],))))
+    assert [(r["tx_index"], r["meta_error"]) for r in rows] == [(1, "a frame is missing")]
+    rows = list(archive.read_range(archive.Range(str(path), 0, 1 << 40), archive.Wanted({0}, ("slot", "tx_data"))))
+    assert len(rows) == 3 and not any("meta_error" in r for r in rows)
+
+
+@pytest.fixture
+def server(tmp_path):
+    """A local server that knows ranges."""
+    import http.server
+    import threading
+
+    class Handler(http.server.SimpleHTTPRequestHandler):
+        def log_message(self, *a):
+            pass
+
+        def do_HEAD(self):
+            self.send_response(200)
+            self.send_header("Content-Length", str(os.path.getsize(tmp_path / self.path[1:])))
+            self.end_headers()
+
+        def do_GET(self):
+            data = (tmp_path / self.path[1:]).read_bytes()
+            a, b = map(int, self.headers["Range"].removeprefix("bytes=").split("-"))
+            self.send_response(206)
+            self.end_headers()
+            self.wfile.write(data[a : b + 1])
+
+    s = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=s.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{s.server_port}"
+    s.shutdown()
+
+
+def test_archives_behind_http(spark, tmp_path, server, monkeypatch):
+    data = _ledger(random.Random(12))
+    (tmp_path / "epoch-5.car").write_bytes(data)
+    near = archive.read_archives(spark, str(tmp_path), splitBytes="2000").orderBy("pos").collect()
+    far = archive.read_archives(spark, f"{server}/epoch-5.car", splitBytes="2000").orderBy("pos").collect()
+    assert far == near and len({r.group_id for r in near}) > 20
+    monkeypatch.setattr(files, "BLOCK", 777)
+    path = files.download(f"{server}/epoch-5.car", str(tmp_path / "down"))
+    assert open(path, "rb").read() == data and os.listdir(tmp_path / "down") == ["epoch-5.car"]
+    (tmp_path / "epoch-5.car").write_bytes(b"changed")
+    assert files.download(f"{server}/epoch-5.car", str(tmp_path / "down")) == path and open(path, "rb").read() == data
+    blocks = files.Blocks(len(data), lambda a, b: data[a:b])
+    rng = random.Random(13)
+    for _ in range(200):
+        a = rng.randrange(len(data))
+        b = rng.randrange(a, len(data) + 1)
+        assert blocks[a:b] == data[a:b] and blocks[a] == data[a]
+        what = data[a : a + 5]
+        assert blocks.find(what, b, len(data)) == data.find(what, b)
+    assert files.epoch_address("http://h/", 7) == "http://h/7/epoch-7.car"
