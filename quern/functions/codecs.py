@@ -348,6 +348,12 @@ def crc64_of(data: Column | str) -> Column:
     return F.arrow_udf(_each(lambda x: struct.unpack("<q", struct.pack("<Q", crc64(x)))[0], pa.int64()), "long")(data)
 
 
+def text_if_valid(data: Column) -> Column:
+    """Bytes as text where they are UTF-8; null for others."""
+    text = data.cast("string")
+    return F.when(F.is_valid_utf8(text), text)
+
+
 def little_endian(data: Column, start: int, size: int) -> Column:
     """Unsigned integer of up to 7 bytes at a fixed place, without a UDF."""
     digits = F.hex(F.substring(data, start + 1, size))

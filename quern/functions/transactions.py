@@ -201,19 +201,53 @@ def parse_metadata(data: bytes | None) -> dict | None:
     """Of zstd-compressed or plain bytes; None for none. Protobuf first, then the older layout."""
     if not data:
         return None
-    if data[:4] == b"\x28\xb5\x2f\xfd":
-        import zstandard
-
-        try:
-            data = zstandard.ZstdDecompressor().decompressobj().decompress(data)
-        except zstandard.ZstdError as e:
-            raise Malformed("compressed metadata") from e
+    data = _plain(data)
     try:
         return _protobuf(data)
     except (Malformed, UnicodeDecodeError, AttributeError, TypeError):
         return _old_layout(data)
 
 
+def _plain(data: bytes) -> bytes:
+    """Without zstd compression, if there is any."""
+    if data[:4] != b"\x28\xb5\x2f\xfd":
+        return data
+    import zstandard
+
+    try:
+        return zstandard.ZstdDecompressor().decompressobj().decompress(data)
+    except zstandard.ZstdError as e:
+        raise Malformed("compressed data") from e
+
+
+def parse_rewards(data: bytes) -> list[dict]:
+    """Rewards of a block: account, amount, balance after it, kind by number, commission; protobuf, compressed or plain."""
+    out = []
+    for n, wire, v in _fields(_plain(data)):
+        if n != 1:
+            continue
+        if wire != 2:
+            raise Malformed("rewards")
+        one = {"account": "", "lamports": 0, "post_balance": 0, "kind": 0, "commission": None}
+        for m, w, x in _fields(v):
+            if m in (2, 3, 4) and w == 0:
+                one[("lamports", "post_balance", "kind")[m - 2]] = x - (1 << 64) if m == 2 and x >> 63 else x
+            elif m in (1, 5) and w == 2:
+                one["account" if m == 1 else "commission"] = x.decode("utf-8", "replace")
+        out.append(one)
+    return out
+
+
+def build_rewards(rewards: list[tuple[str, int, int, int, str | None]]) -> bytes:
+    """The inverse, for tests and for round trips."""
+    out = b""
+    for account, lamports, after, kind, commission in rewards:
+        body = varint_encode(10) + varint_encode(len(account)) + account.encode() + varint_encode(16) + varint_encode(lamports % (1 << 64)) + varint_encode(24) + varint_encode(after) + varint_encode(32) + varint_encode(kind)
+        body += b"" if commission is None else varint_encode(42) + varint_encode(len(commission)) + commission.encode()
+        out += varint_encode(10) + varint_encode(len(body)) + body
+    return out
+
+
 def build_metadata(fee: int, pre: list[int], post: list[int], logs: list[str] | None = (), inner: list[tuple[int, list[tuple[int, list[int], bytes]]]] = (), err: bytes | None = None, pre_tokens: list[tuple[int, str, str, str]] = (), post_tokens: list[tuple[int, str, str, str]] = (), writable: list[bytes] = (), readonly: list[bytes] = ()) -> bytes:
     """Protobuf metadata, for tests and for round trips."""
 
@@ -273,6 +307,32 @@ def decode_metadata(data: Column | str) -> Column:
     return F.arrow_udf(lambda c: pa.array(list(map(one, c.to_pylist())), kind), META)(data)
 
 
+_REWARDS = "array<struct<account:string,lamports:long,post_balance:decimal(20,0),kind:int,commission:string>>"
+
+
+def decode_rewards(data: Column | str) -> Column:
+    """Rewards of a block node's payload; null for none and for bytes that can't be read."""
+    kind = pa.list_(pa.struct([("account", pa.string()), ("lamports", pa.int64()), ("post_balance", _BIG), ("kind", pa.int32()), ("commission", pa.string())]))
+    one = _soft(parse_rewards)
+    return F.arrow_udf(lambda c: pa.array(list(map(one, c.to_pylist())), kind), _REWARDS)(data)
+
+
+def run_counters(raw: DataFrame, targets: list[bytes] | None = None) -> DataFrame:
+    """One row of what a run over (tx_data, meta_data) with targets sees: transactions, decode_errors (bytes that are no transaction), metadata_skipped (no own key is a target, so it isn't read),
+    metadata_errors (it can't be read), metadata_missing, and matching transactions. An empty table has all 0."""
+    rows = raw.select(decode_transaction("tx_data").alias("tx"), "meta_data")
+    wanted = F.arrays_overlap("tx.keys", F.array(*[F.lit(t) for t in targets])) if targets else F.lit(True)
+    rows = rows.withColumn("wanted", F.coalesce(wanted, F.lit(False)) & F.col("tx").isNotNull())
+    rows = rows.withColumn("meta", decode_metadata(F.when(F.col("wanted"), F.col("meta_data"))))
+    programs = program_keys(all_instructions(F.col("tx"), F.col("meta")), all_keys(F.col("tx"), F.col("meta")))
+    matched = F.col("wanted") & (F.arrays_overlap(programs, F.array(*[F.lit(t) for t in targets])) if targets else F.lit(True))
+    there = F.coalesce(F.length("meta_data"), F.lit(0)) > 0
+    return rows.agg(
+        F.count("*").alias("transactions"), F.count_if(F.col("tx").isNull()).alias("decode_errors"), F.count_if(F.col("tx").isNotNull() & ~F.col("wanted")).alias("metadata_skipped"),
+        F.count_if(F.col("wanted") & there & F.col("meta").isNull()).alias("metadata_errors"), F.count_if(F.col("wanted") & ~there).alias("metadata_missing"), F.count_if(matched).alias("matching"),
+    )
+
+
 def text_keys(keys: Column) -> Column:
     """base58 of an array of binary. Each different key of a batch is divided once."""
 
@@ -339,7 +399,7 @@ def token_deltas(pre: Column, post: Column) -> Column:
 
 
 def records(raw: DataFrame, targets: list[bytes] | None = None, strict_lookup: bool = False) -> DataFrame:
-    """Transactions as flat records, from (slot, block_time, tx_data, meta_data).
+    """Transactions as flat records, from (slot, block_time, tx_data, meta_data). Of file, group_id, pos and tx_index those that are there go along: they give the ledger's order.
 
     Two passes over the bytes: the small transaction part is read first, and rows that can't match a target program are dropped before the metadata,
     which is far larger, is decompressed. With `strict_lookup` programs that only a lookup table names are found too, at the price of reading all metadata."""
@@ -351,9 +411,11 @@ def records(raw: DataFrame, targets: list[bytes] | None = None, strict_lookup: b
             kind = pa.struct([("signatures", pa.list_(pa.binary())), ("version", pa.int32()), ("keys", pa.list_(pa.binary())), ("instructions", _PA_IX), ("lookups", pa.int32())])
             rows = pa.array([{k: p[k] for k in ("signatures", "version", "keys", "instructions", "lookups")} for p, y in zip(parsed, keep, strict=True) if y], kind)
             some = batch.filter(pa.array(keep))
-            yield pa.RecordBatch.from_arrays([some.column("slot"), some.column("block_time"), some.column("meta_data"), rows], ["slot", "block_time", "meta_data", "tx"])
+            yield pa.RecordBatch.from_arrays([*[some.column(c) for c in (*order, "slot", "block_time", "meta_data")], rows], [*order, "slot", "block_time", "meta_data", "tx"])
 
-    rows = raw.select("slot", "block_time", "tx_data", "meta_data").mapInArrow(first, f"slot long, block_time long, meta_data binary, tx {OUTER}")
+    order = [c for c in ("file", "group_id", "pos", "tx_index") if c in raw.columns]
+    kinds = "".join(f"{c} {t}, " for c, t in raw.select(*order).dtypes) if order else ""
+    rows = raw.select(*order, "slot", "block_time", "tx_data", "meta_data").mapInArrow(first, f"{kinds}slot long, block_time long, meta_data binary, tx {OUTER}")
     rows = rows.withColumn("meta", decode_metadata("meta_data")).drop("meta_data")
     tx, meta = F.col("tx"), F.col("meta")
     rows = rows.withColumn("keys", all_keys(tx, meta)).withColumn("ix", all_instructions(tx, meta))
@@ -364,7 +426,7 @@ def records(raw: DataFrame, targets: list[bytes] | None = None, strict_lookup: b
     none = F.array().cast("array<decimal(20,0)>")
     tokens = F.array().cast(_TOKEN)
     return rows.select(
-        "slot", "block_time", text_keys(tx["signatures"]).alias("signatures"), F.col("names").alias("accounts"), text_keys(F.col("programs")).alias("program_ids"), F.coalesce(meta["fee"], F.lit(0).cast("decimal(20,0)")).alias("fee"),
+        *order, "slot", "block_time", text_keys(tx["signatures"]).alias("signatures"), F.col("names").alias("accounts"), text_keys(F.col("programs")).alias("program_ids"), F.coalesce(meta["fee"], F.lit(0).cast("decimal(20,0)")).alias("fee"),
         balance_deltas(F.col("names"), F.coalesce(meta["pre"], none), F.coalesce(meta["post"], none)).alias("account_balance_deltas"),
         token_deltas(F.coalesce(meta["pre_tokens"], tokens), F.coalesce(meta["post_tokens"], tokens)).alias("token_balance_deltas"),
         meta["logs"].alias("log_messages"), meta["err"].alias("err"), name_instructions(F.col("ix"), F.col("names")).alias("instructions"),

@@ -67,6 +67,14 @@ def lookup(keys: Column | str, index: Column, unknown: str = "UNKNOWN_PROGRAM_IN
     return F.coalesce(F.get(keys, index), F.concat(F.lit(unknown), index.cast("string")))
 
 
+def wallet_targets(df: DataFrame) -> DataFrame:
+    """(key): the distinct keys of 32 bytes that the first column names in base58; other values are left out."""
+    from ..functions.codecs import from_base58
+
+    keys = df.select(from_base58(F.trim(F.col(f"`{df.columns[0]}`").cast("string"))).alias("key"))
+    return keys.where(F.length("key") == 32).distinct()
+
+
 def in_targets(df: DataFrame, targets: DataFrame, accounts: str = "accounts", key: str = "tx_id") -> DataFrame:
     """Rows that touch a target account. Targets may be millions: a hash semi-join on exploded accounts, not a list in a predicate."""
     names = targets.select(F.col(targets.columns[0]).alias("_t")).where("_t is not null").distinct()

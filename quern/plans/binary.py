@@ -401,13 +401,101 @@ def car_recover(spark, d):
     return _tx_rows(archive.read_archives(spark, _write_archive(spark, d, _local(spark, "car-"), damage=True), kinds=[0, 2, 6]))
 
 
-@register("SELECT doc_id, (length(text) + 499) // 500 AS n, md5(text) AS text_md5 FROM documents")
+@register("SELECT doc_id, greatest((strlen(text) + 499) // 500, 1) AS n, md5(text) AS text_md5 FROM documents")
 def frame_reassemble(spark, d):
-    t = table(spark, d, "documents").select("doc_id", "text", F.ceil(F.length("text") / 500).cast("int").alias("n"))
-    frames = t.select("doc_id", "n", F.explode(F.transform(F.sequence(F.lit(0), F.greatest(F.col("n") - 1, F.lit(0))), lambda i: F.struct(i.alias("i"), F.substr("text", i * 500 + 1, F.lit(500)).alias("data")))).alias("f"))
-    mixed = frames.select("doc_id", "n", "f.*").repartition("i")
-    whole = mixed.groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("i", "data"))).alias("fs")).where(F.size("fs") == F.greatest("n", F.lit(1)))
-    return whole.select("doc_id", F.col("n").cast("long").alias("n"), F.md5(F.array_join(F.transform("fs", lambda x: x["data"]), "")).alias("text_md5"))
+    """Texts cut into linked frames, dealt out, and put together again by their links and checksums."""
+
+    def cut(batches):
+        for batch in batches:
+            out = []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                first, rest = archive.split_frames((text or "").encode(), 500)
+                out += [(doc, payload := codecs.cbor_encode(x), archive.node_id(payload), k) for k, x in enumerate([first, *rest])]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.int32()), strict=True)], ["doc_id", "payload", "cid", "k"])
+
+    def whole(table: pa.Table) -> pa.Table:
+        nodes = {c: archive.parse_node(p) for c, p in zip(table.column("cid").to_pylist(), table.column("payload").to_pylist(), strict=True)}
+        first = archive.parse_node(table.column("payload")[table.column("k").to_pylist().index(0)].as_py())
+        return pa.table({"doc_id": table.column("doc_id")[:1], "n": pa.array([len(nodes)], pa.int64()), "data": pa.array([archive.reassemble(first, nodes)], pa.binary())})
+
+    t = _spread(table(spark, d, "documents").select("doc_id", "text"))
+    frames = t.mapInArrow(cut, "doc_id long, payload binary, cid binary, k int").repartition("k")
+    rows = frames.groupBy("doc_id").applyInArrow(whole, "doc_id long, n long, data binary")
+    return rows.select("doc_id", "n", F.md5("data").alias("text_md5"))
+
+
+# ---------------------------------------------------------------- what older tools did
+
+
+@register("SELECT o_orderkey AS slot, 'K' || o_custkey AS account, -(o_custkey % 5) AS lamports, o_orderkey AS after, o_orderkey % 4 AS kind, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey || '' END AS commission FROM orders WHERE o_orderkey % 13 <> 0")
+def rewards_decode(spark, d):
+    def build(keys: pa.Array, customers: pa.Array) -> pa.Array:
+        import zstandard
+
+        pack = zstandard.ZstdCompressor().compress
+        return pa.array([b"\x0a\xff" if k % 13 == 0 else pack(transactions.build_rewards([(f"K{c}", -(c % 5), k, k % 4, str(c) if k % 3 == 0 else None)])) for k, c in zip(keys.to_pylist(), customers.to_pylist(), strict=True)], pa.binary())
+
+    o = _spread(table(spark, d, "orders").select("o_orderkey", "o_custkey"))
+    rows = o.select(F.col("o_orderkey").alias("slot"), transactions.decode_rewards(F.arrow_udf(build, "binary")("o_orderkey", "o_custkey")).alias("r")).where("r is not null")
+    return rows.select("slot", F.inline("r")).select("slot", "account", "lamports", F.col("post_balance").cast("long").alias("after"), F.col("kind").cast("long").alias("kind"), "commission")
+
+
+@register("SELECT count(*) AS transactions, count(*) FILTER (o_orderkey % 17 = 0) AS decode_errors, count(*) FILTER (o_orderkey % 17 <> 0 AND o_orderkey % 7 <> 3) AS metadata_skipped, count(*) FILTER (o_orderkey % 17 <> 0 AND o_orderkey % 7 = 3 AND o_orderkey % 19 = 0) AS metadata_errors, count(*) FILTER (o_orderkey % 17 <> 0 AND o_orderkey % 7 = 3 AND o_orderkey % 11 = 0 AND o_orderkey % 19 <> 0) AS metadata_missing, count(*) FILTER (o_orderkey % 17 <> 0 AND o_orderkey % 7 = 3) AS matching FROM orders")
+def run_counters(spark, d):
+    raw = _tx(spark, d).withColumn("tx_data", F.when(F.col("slot") % 17 == 0, F.lit(b"\xde\xad")).otherwise(F.col("tx_data"))).withColumn("meta_data", F.when(F.col("slot") % 19 == 0, F.lit(b"\xff\xff")).otherwise(F.col("meta_data")))
+    return transactions.run_counters(raw, [_key("P", 3)])
+
+
+@register("SELECT kind, n AS nodes, CASE WHEN kind = 0 THEN n END AS decode_ok FROM (VALUES (0::BIGINT, (SELECT count(*) FROM orders)), (2::BIGINT, (SELECT count(DISTINCT o_orderkey // 100) FROM orders))) t(kind, n)")
+def node_counters(spark, d):
+    nodes = archive.read_archives(spark, _write_archive(spark, d, _local(spark, "car-")), [0, 2], ["kind", "tx_data", "meta_data", "meta_error"], splitBytes="1048576")
+    rows = archive.counters(nodes)
+    return rows.select(F.col("kind").cast("long").alias("kind"), "nodes", F.when(F.col("kind") == 0, F.col("decode_ok")).alias("decode_ok"))
+
+
+@register("SELECT group_id * 100 + row_number() OVER (PARTITION BY group_id ORDER BY slot) AS place, slot FROM (SELECT o_orderkey AS slot, dense_rank() OVER (ORDER BY o_orderkey // 100) - 1 AS group_id FROM orders)")
+def ledger_order(spark, d):
+    """Flat records with the columns that put them into the ledger's order."""
+    nodes = archive.read_archives(spark, _write_archive(spark, d, _local(spark, "car-")), [0], ["kind", "file", "group_id", "pos", "tx_index", "slot", "block_time", "tx_data", "meta_data"], splitBytes="1048576").where("kind = 0")
+    r = transactions.records(nodes)
+    return r.select((F.col("group_id") * 100 + F.col("tx_index") + 1).alias("place"), "slot")
+
+
+@register("SELECT event_id, '{\"event_id\":\"' || event_id || '\",\"user_id\":\"' || user_id || '\"}' AS data FROM events")
+def older_values(spark, d):
+    """64-bit numbers as text, as the first tools wrote them."""
+    e = _events(spark, d)
+    rows = e.select("event_id", borsh.decode(borsh.encode(_json(F.col("event_id"), F.col("user_id"), F.col("value")), IDL, "Tail"), IDL, "events", older=True).alias("d"))
+    j = F.from_json(F.col("d.data"), "event_id string, user_id string")
+    return rows.select("event_id", F.to_json(j).alias("data"))
+
+
+@register("SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN event_type END AS text FROM events")
+def bytes_as_text(spark, d):
+    e = _events(spark, d)
+    data = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit(b"\xff\xc0"), F.col("event_type").cast("binary"))).otherwise(F.col("event_type").cast("binary"))
+    return e.select("event_id", codecs.text_if_valid(data).alias("text"))
+
+
+@register("SELECT DISTINCT sha256('C' || c_custkey) AS key FROM customer WHERE c_custkey % 3 <> 0")
+def wallet_targets(spark, d):
+    from ..operators import instructions
+
+    def names(keys: pa.Array) -> pa.Array:
+        return pa.array([f"0{k}" if k % 3 == 0 else codecs.base58_encode(_key("C", k)) for k in keys.to_pylist()], pa.string())
+
+    c = table(spark, d, "customer").select("c_custkey")
+    twice = c.unionAll(c).select(F.arrow_udf(names, "string")("c_custkey").alias("wallet"))
+    return instructions.wallet_targets(twice).select(F.lower(F.hex("key")).alias("key"))
+
+
+@register("SELECT event_type AS name, sum(user_id)::BIGINT AS users FROM events GROUP BY 1")
+def registered_description(spark, d):
+    """A description's decoder as a function of SQL."""
+    _, event = borsh.register_idl(spark, IDL, "trade")
+    _events(spark, d).select(borsh.encode(_json(*map(F.col, ("event_id", "user_id", "event_type", "value", "ts"))), IDL, "Trade").alias("data")).createOrReplaceTempView("trade_payloads")
+    rows = spark.sql(f"SELECT from_json({event}(data).data, 'event_type string, user_id long') AS p FROM trade_payloads")
+    return rows.groupBy(F.col("p.event_type").alias("name")).agg(F.sum("p.user_id").alias("users"))
 
 
 # ---------------------------------------------------------------- sinks, sources, streams

@@ -309,6 +309,6 @@ def json_coerce(spark, d):
     return table(spark, d, "events").select("event_id", typed(F.col("props"), "k long, absent string").alias("p")).select("event_id", "p.k", "p.absent")
 
 
-@register(None)
+@register("""SELECT '{' || string_agg('"' || n_nationkey || '":{"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || '}', ',' ORDER BY n_nationkey::VARCHAR) || '}' AS json FROM nation""")
 def json_index_export(spark, d):
     return reports.to_index(table(spark, d, "nation"), "n_nationkey")

@@ -9,6 +9,9 @@ from pyspark.sql import SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that spark.checkpoint.dir names, which all executors share; a temporary one where it is unset."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
+    """A fresh path in the folder that spark.checkpoint.dir names, which all executors share; a temporary one where it is unset in local mode."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+    root = root or tempfile.gettempdir()
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

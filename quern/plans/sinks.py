@@ -36,8 +36,8 @@ def write(df: DataFrame, path: str, form: str = "parquet", mode: str = "error",
 
 
 def write_flat(df: DataFrame, path: str, form: str = "parquet", key: str = "name", mode: str = "error") -> None:
-    """A folder per name; the column stays in the files too. Rows of a name are gathered before they are written, a large name in several tasks."""
-    spread = df.withColumn("_name", F.col(key)).repartition(F.col("_name"), F.pmod(F.xxhash64(*df.columns[:3]), F.lit(8)))
+    """A folder per name; the column stays in the files too. Rows of a name are gathered before they are written; a name of any size is split at the advisory size of a partition."""
+    spread = df.withColumn("_name", F.col(key)).hint("rebalance", "_name")
     write(spread.withColumnRenamed("_name", f"{key}_part"), path, form, mode, [f"{key}_part"])
 
 

@@ -263,7 +263,7 @@ class Wanted:
 
     @property
     def frames(self) -> bool:
-        return (self.kinds is None or TRANSACTION in self.kinds) and bool({"meta_data", "meta_error", *(["tx_data"] if self.whole_data else [])} & {*self.columns})
+        return (self.kinds is None or bool(self.kinds & {TRANSACTION, REWARDS})) and bool({"meta_data", "meta_error", *(["tx_data"] if self.whole_data else [])} & {*self.columns})
 
 
 def _row(place: tuple, s: Section, kind: int | None, n: dict, resolve: dict, block_time: int | None, want: Wanted) -> dict:
@@ -279,6 +279,11 @@ def _row(place: tuple, s: Section, kind: int | None, n: dict, resolve: dict, blo
                 row["meta_data"] = reassemble(n["metadata"], resolve) or None
             except Malformed as e:
                 row["meta_error"] = str(e)
+    elif kind == REWARDS and want.frames:
+        try:
+            row["meta_data"] = reassemble(n["data"], resolve) or None
+        except Malformed as e:
+            row["meta_error"] = str(e)
     elif kind == ENTRY:
         row["hash"] = n["hash"]
     elif kind == BLOCK:
@@ -483,6 +488,17 @@ def block_groups(nodes: DataFrame) -> DataFrame:
     return grouped.withColumn("group_time", F.first(F.when(F.col("kind") == BLOCK, F.col("block_time")), ignorenulls=True).over(own))
 
 
+def counters(nodes: DataFrame) -> DataFrame:
+    """(kind, nodes, decode_ok, decode_errors): of transactions (their metadata, if there is any) and rewards, how many can be read. Needs kind, tx_data, meta_data, meta_error."""
+    from ..functions import transactions
+
+    tx, reward = F.col("kind") == TRANSACTION, F.col("kind") == REWARDS
+    some = F.col("meta_data").isNotNull()
+    meta = transactions.decode_metadata(F.when(tx, F.col("meta_data")))
+    ok = F.when(tx, transactions.decode_transaction(F.when(tx, F.col("tx_data"))).isNotNull() & F.col("meta_error").isNull() & (~some | meta.isNotNull())).when(reward, F.col("meta_error").isNull() & (~some | transactions.decode_rewards(F.when(reward, F.col("meta_data"))).isNotNull()))
+    return nodes.withColumn("_ok", ok).groupBy("kind").agg(F.count("*").alias("nodes"), F.count_if(F.col("_ok")).alias("decode_ok"), F.count_if(~F.col("_ok")).alias("decode_errors"))
+
+
 def inspect(nodes: DataFrame) -> DataFrame:
     """Nodes by kind, and the first and last slot in file order of the blocks."""
     return nodes.groupBy("file", "kind").agg(F.count("*").alias("nodes"), F.min_by("slot", "pos").alias("first_slot"), F.max_by("slot", "pos").alias("last_slot"))

@@ -1,10 +1,13 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
-from quern.functions import borsh
+from quern.functions import borsh, codecs, transactions
 from quern.functions.idl import Idl
 from quern.operators import balances, instructions, reports
 from quern.plans import commands, sinks
+from quern.sources import archive
 
 TX = "slot long, block_time long, signatures array<string>, log_messages array<string>, err string, instructions array<struct<program_id:string,data:string,accounts:array<string>>>"
 ROWS = [(100, 1700000000, ["s1"], ["Program prog1 invoke [1]"], None, [("prog1", "3Bxs4h24hBtQ", ["a1", "a2"])]), (101, None, ["s2", "s3"], None, 'Err "x", y', [])]
@@ -100,3 +103,58 @@ def test_entry_registers_everything():
     from quern import catalogue
 
     assert set(catalogue.QUERIES) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
+
+
+KEY = bytes(range(32))
+
+
+def _small_archive(path, slots):
+    """Transactions of one program with one decodable instruction each, in blocks of two."""
+    idl = Idl.load(json.dumps({"instructions": [{"name": n, "args": [{"name": "amount", "type": "u64"}]} for n in ("buy", "sell")], "events": [], "types": []}))
+    nodes = []
+    for slot in slots:
+        data = borsh.Codec(idl).write_item(next(i for i in idl.instructions.values() if i.name == ("buy", "sell")[slot % 2]), {"amount": slot})
+        tx = transactions.build_transaction([bytes([slot]) * 64], [b"p" * 32, KEY], [(1, [0], data)])
+        meta = transactions.build_metadata(5, [9_000_000, 1], [1, 9_000_000 - 5], [])
+        nodes.append([archive.TRANSACTION, archive.frame(tx), archive.frame(meta), slot, 0])
+        if slot % 2:
+            nodes.append([archive.BLOCK, slot, [], [], [slot - 1, 1000 + slot, None], codecs.Link(b"r")])
+    path.write_bytes(archive.archive(nodes))
+    return idl
+
+
+def test_commands_by_epoch_end_to_end(spark, tmp_path, capsys):
+    for n in (3, 4):
+        _small_archive(tmp_path / f"epoch-{n}.car", range(n * 10, n * 10 + 6))
+    (tmp_path / "idl.json").write_text(json.dumps({"instructions": [{"name": n, "args": [{"name": "amount", "type": "u64"}]} for n in ("buy", "sell")], "events": [], "types": []}))
+    raw = str(tmp_path / "raw")
+    commands.main(["ingest", "--epochs", "3..4", "--source", str(tmp_path), "--program", codecs.base58_encode(KEY), "--output", raw])
+    assert sorted(p.name for p in (tmp_path / "raw").iterdir()) == ["epoch-3.parquet", "epoch-4.parquet"]
+    commands.main(["ingest", "--epochs", "3", "--source", str(tmp_path), "--output", str(tmp_path / "raw"), "--format", "jsonl"])
+    records = commands.stored(spark, raw)
+    assert sorted((r.epoch, r.slot) for r in records.select("epoch", "slot").collect()) == sorted([(n, n * 10 + k) for n in (3, 4) for k in range(6)] + [(3, 30 + k) for k in range(6)])
+    commands.main(["decode", "--input", raw, "--idl", str(tmp_path / "idl.json"), "--extract", "instructions", "--output", str(tmp_path / "flat")])
+    assert sorted(p.name for p in (tmp_path / "flat").iterdir()) == ["buy", "sell"]
+    rows = spark.read.parquet(str(tmp_path / "flat" / "buy")).collect()
+    assert sorted(int(r.amount) for r in rows) == sorted([30, 30, 32, 32, 34, 34, 40, 42, 44]) and {r.name for r in rows} == {"buy"}
+    spark.createDataFrame([(codecs.base58_encode(KEY),), ("nobody",)], "wallet string").write.parquet(str(tmp_path / "w"))
+    commands.main(["wallets", "--input", f"{raw}/epoch-4.parquet", "--wallets", str(tmp_path / "w"), "--output", str(tmp_path / "paid")])
+    paid = spark.read.parquet(str(tmp_path / "paid")).collect()
+    assert len(paid) == 6 and {(r.role, r.receiver, r.amount) for r in paid} == {("MASTER_DONOR", codecs.base58_encode(KEY), 8_999_994)}
+    commands.main(["count", "--input", f"{tmp_path}/epoch-3.car", "--decode"])
+    assert "decode_ok" in capsys.readouterr().out
+
+
+def test_records_are_read_once_for_all_names(spark, tmp_path):
+    idl = _small_archive(tmp_path / "epoch-1.car", range(8))
+    scans = spark.sparkContext.accumulator(0)
+    records = commands.with_text_data(commands.ingest(spark, str(tmp_path / "epoch-1.car")))
+
+    def seen(batches):
+        for batch in batches:
+            scans.add(batch.num_rows)
+            yield batch
+
+    assert commands.write_decoded(records.mapInArrow(seen, records.schema), idl, "instructions", str(tmp_path / "o")) == ["buy", "sell"]
+    assert scans.value == 8
+    assert commands.write_decoded(records.where("slot > 99"), idl, "instructions", str(tmp_path / "none")) == []
