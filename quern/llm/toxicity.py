@@ -436,8 +436,8 @@ def _labelled(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     return rows.join(F.broadcast(one), ["key", "toxic", "row"]).select("text", "toxic")
 
 
-def significant(toxic: np.ndarray, clean: np.ndarray, toxic_rows: int, clean_rows: int) -> np.ndarray:
-    """Which counts refute, by Chernoff's bound of the binomial tail, that a unit is only BOUND times as frequent in toxic texts; Benjamini and Hochberg's step-up at the rate FALSE."""
+def significant(toxic: np.ndarray, clean: np.ndarray, toxic_rows: int, clean_rows: int, tested: int = 0) -> np.ndarray:
+    """Which counts refute, by Chernoff's bound of the binomial tail, that a unit is only BOUND times as frequent in toxic texts; Benjamini and Hochberg's step-up at the rate FALSE. tested: all units, if those that clearly don't are left out."""
     n = toxic + clean
     at_most = BOUND * toxic_rows / (BOUND * toxic_rows + clean_rows)
     share = toxic / n
@@ -445,7 +445,7 @@ def significant(toxic: np.ndarray, clean: np.ndarray, toxic_rows: int, clean_row
         far = share * np.log(share / at_most) + np.where(share < 1, (1 - share) * np.log((1 - share) / (1 - at_most)), 0.0)
     logs = np.where(share > at_most, -n * far, 0.0)
     order = np.argsort(logs)
-    passed = np.flatnonzero(logs[order] <= np.log(FALSE * np.arange(1, len(n) + 1) / max(len(n), 1)))
+    passed = np.flatnonzero(logs[order] <= np.log(FALSE * np.arange(1, len(n) + 1) / max(len(n), tested, 1)))
     out = np.zeros(len(n), bool)
     out[order[: passed[-1] + 1 if len(passed) else 0]] = True
     return out
@@ -535,11 +535,13 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> Lexicon:
     table = cut(labelled.mapInArrow(count_units, "unit string, toxic long, clean long").groupBy("unit").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where((F.col("toxic") >= TEXTS) | F.col("unit").isin(_TOXIC, _CLEAN)))
     sizes = {r.unit: r.toxic + r.clean for r in table.where(F.col("unit").isin(_TOXIC, _CLEAN)).collect()}
     n = {True: sizes.get(_TOXIC, 0), False: sizes.get(_CLEAN, 0)}
-    # all units of at least TEXTS toxic texts are tested: their number is bounded by the labelled rows
-    arrow = table.where(~F.col("unit").isin(_TOXIC, _CLEAN)).toArrow()
+    # all units of at least TEXTS toxic texts are tested; those that are RATIO times as frequent reach the driver, bounded by the labelled rows
+    own = table.where(~F.col("unit").isin(_TOXIC, _CLEAN))
+    tested = own.count()
+    arrow = own.where((F.col("toxic") + 0.5) * (n[False] + 1) >= F.lit(0.999 * RATIO) * (F.col("clean") + 1.5) * (n[True] + 1)).toArrow()
     names, toxic, clean = arrow.column("unit").to_pylist(), arrow.column("toxic").to_numpy(), arrow.column("clean").to_numpy()
     logs = np.log((toxic + 0.5) / (clean + 1.5) * ((n[False] + 1) / (n[True] + 1)))
-    good = np.flatnonzero(significant(toxic, clean, n[True], n[False]) & (logs >= np.log(RATIO))).tolist() if n[True] and n[False] else []
+    good = np.flatnonzero(significant(toxic, clean, n[True], n[False], tested) & (logs >= np.log(RATIO))).tolist() if n[True] and n[False] else []
     weights = concise({names[i]: float(logs[i]) for i in good}, {names[i]: int(toxic[i]) for i in good})
     lexicon = Lexicon(weights)
     lexicon.chars = char_model(docs, {u: 1.0 for u in lexicon.weights})
