@@ -324,7 +324,8 @@ def class_links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     # pos: shingles before this one in the group's order, those of its own first
     posted = member.where("sig = g").select("g", "n", "members", "score", F.posexplode("head").alias("i", "h"), "shared").withColumn("pos", F.col("i") + F.col("n") - F.col("shared"))
     posted = cut(posted.select("h", "g", "n", "pos", "score", "members"))
-    hub = posted.groupBy("h").agg(F.max(F.struct("score", "g", "n", "pos")).alias("s"), F.count("*").alias("k")).where("k > 1").select("h", "s.g", "s.n", "s.pos")
+    # what is summed up by shingle is cut off before each join by shingle, so that the join's own stage can split a frequent one
+    hub = cut(posted.groupBy("h").agg(F.max(F.struct("score", "g", "n", "pos")).alias("s"), F.count("*").alias("k")).where("k > 1").select("h", "s.g", "s.n", "s.pos"))
     first = posted.alias("a").join(hub.alias("b"), "h").where("a.g <> b.g").where(_may_link(percent)).select(F.col("a.g").alias("u"), F.col("b.g").alias("v")).distinct()
     inside = member.where("sig <> g").select(F.col("sig").alias("u"), F.col("g").alias("v"))
     edges = cut(links(first.unionAll(inside), sets, percent))
@@ -333,12 +334,12 @@ def class_links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     # second round: what is still apart
     placed = cut(member.select("sig", "g", "members").join(roots.withColumnRenamed("u", "sig"), "sig", "left").select("sig", "g", "members", F.coalesce("root", "sig").alias("root")))
     of_group = placed.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-    entries = posted.select("h", "g", "n", "pos").join(of_group, "g")
-    apart = entries.groupBy("h").agg(F.min("lo").alias("x"), F.max("hi").alias("y")).where("x <> y").select("h")
+    entries = cut(posted.select("h", "g", "n", "pos").join(of_group, "g"))
+    apart = cut(entries.groupBy("h").agg(F.min("lo").alias("x"), F.max("hi").alias("y")).where("x <> y").select("h"))
     entries = cut(entries.join(apart, "h"))
     # the component of most entries of a shingle needs no pairs within itself
-    most = entries.where("lo = hi").groupBy("h", "lo").count().groupBy("h").agg(F.max(F.struct("count", "lo")).alias("m")).select("h", F.col("m.lo").alias("major"))
-    rest = entries.join(most, "h", "left").where("major is null or lo <> major or hi <> major")
+    most = cut(entries.where("lo = hi").groupBy("h", "lo").count().groupBy("h").agg(F.max(F.struct("count", "lo")).alias("m")).select("h", F.col("m.lo").alias("major")))
+    rest = cut(entries.join(most, "h", "left").where("major is null or lo <> major or hi <> major"))
     differ = (F.col("a.lo") != F.col("b.lo")) | (F.col("a.hi") != F.col("b.hi")) | (F.col("a.lo") != F.col("a.hi"))
     second = rest.alias("a").join(entries.alias("b"), "h").where("a.g <> b.g").where(differ).where(_may_link(percent))
     second = second.select(F.least("a.g", "b.g").alias("ga"), F.greatest("a.g", "b.g").alias("gb")).distinct()

@@ -34,6 +34,8 @@ LEAST = 6.0
 #: Strata: runs of less than 32, 64, 128 ... characters; bins of -log10(p), half a unit each.
 STRATA, BINS, BIN = 12, 120, 0.5
 REDACTED = "<SECRET>"
+#: Parts of a text, an even number, that are folded together.
+BLOCK = 512
 _SPANS = "array<struct<start:int,rank:int,end:int,text:string>>"
 
 
@@ -60,8 +62,17 @@ def _matches(text: Column, pattern: str, rank: int) -> Column:
         one = F.struct(s["at"].alias("start"), F.lit(rank).alias("rank"), end.alias("end"), part.alias("text"))
         return F.struct(end.alias("at"), (~s["hit"]).alias("hit"), F.when(s["hit"], F.array_append(s["out"], one)).otherwise(s["out"]).cast(_SPANS).alias("out"))
 
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("hit"), none.alias("out"))
-    return F.when(text.rlike(pattern), F.aggregate(parts, start, step, lambda s: s["out"])).otherwise(none)
+    def found(some: Column, at: Column) -> Column:
+        """Matches of an even number of parts, of which the first is none."""
+        return F.aggregate(some, F.struct(at.alias("at"), F.lit(False).alias("hit"), none.alias("out")), step, lambda s: s["out"])
+
+    # arrays that grow in a fold cost the square of their length, so many parts are folded BLOCK at a time, from where each block starts
+    blocks = F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / BLOCK).cast("int"))
+    sizes = F.transform(blocks, lambda b: F.aggregate(F.slice(parts, b * BLOCK + 1, F.lit(BLOCK)), F.lit(0), lambda a, x: a + F.length(x)))
+    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    starts = F.aggregate(sizes, first, lambda s, n: F.struct((s["at"] + n).alias("at"), F.array_append(s["out"], s["at"]).alias("out")), lambda s: s["out"])
+    whole = F.flatten(F.transform(starts, lambda at, b: found(F.slice(parts, b * BLOCK + 1, F.lit(BLOCK)), at)))
+    return F.when(~text.rlike(pattern), none).when(F.size(parts) <= BLOCK, found(parts, F.lit(0))).otherwise(whole)
 
 
 def base_spans(text: Column) -> Column:

@@ -294,3 +294,17 @@ def test_salted_join_is_the_same(spark):
     table = spark.createDataFrame([(None, "n"), (1, "a"), (2, "b")], "q long, v string")
     a, b = (sorted(map(tuple, beside(rows, table, F.col("k").eqNullSafe(F.col("q")), n).collect()), key=str) for n in (3, 1 << 60))
     assert a == b and len(a) == 500
+
+
+def test_many_matches_in_one_text(spark):
+    """Over several blocks of parts the places are those of a few; a text of 60,000 matches takes no square of that."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(14)
+    texts = ["".join(rng.choice(["x ", "é ", "token=abcdef ", "AKIA" + "A" * 20 + " ", "0123456789abcdef01234567 ", "😀 "]) for _ in range(n)) for n in (0, 1, 500, 511, 512, 513, 5000)]
+    texts.append("token=abcdef " * 60_000)
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.transform(secret_scan.base_spans(secret_scan._safe(F.col("t"))), lambda s: F.struct(s["rank"], s["start"], s["end"])).alias("s")).collect()
+    patterns = [(0, r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{6,}"), (1, "AKIA[A-Z0-9]{16,}"), (2, "(?<![0-9a-f])[0-9a-f]{24,}")]
+    for r in rows:
+        want = sorted((m.start(), k, m.end()) for k, p in patterns for m in re.finditer(p, r.t))
+        assert [(x[1], x[0], x[2]) for x in r.s] == want

@@ -7,7 +7,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from quern.llm.orc_tokens import read_tokens, tokens_round_trip, write_tokens
-from quern.llm.packing import hilbert_key, pack
+from quern.llm.packing import along_curve, hilbert_key, pack
 from quern.llm.token_counts import TokenCounter, token_counts
 from quern.llm.tokens import WordEncoder, vocabulary
 
@@ -124,3 +124,22 @@ def test_orc_stripes_indexes_and_bloom_filters(spark, make, tmp_path):
     assert 0 < scanned("doc_id = 777 * 2") <= 2000
     # odd ids lie between the row groups' least and greatest, so that only Bloom filters can rule them out
     assert sum(scanned(f"doc_id = {k}") == 0 for k in range(1, 39_999, 4000)) >= 8
+
+
+def test_neighbours_on_the_curve_are_alike(make):
+    """Texts of two vocabularies, and near copies, dealt at random: neighbours share their vocabulary and words far oftener than rows in any order."""
+    rng = random.Random(21)
+    words = [[f"{x}{k}" for k in range(60)] for x in "pq"]
+    texts = [(k % 2, " ".join(rng.choices(words[k % 2], k=rng.randrange(60, 200)))) for k in range(400)]
+    texts += [(v, t + " " + rng.choice(words[v])) for v, t in rng.sample(texts, 100)]
+    rng.shuffle(texts)
+    rows = [(k, t) for k, (_, t) in enumerate(texts)]
+    got = [r.doc_id for r in along_curve(make(rows)).select("doc_id").collect()]
+    assert sorted(got) == list(range(500))
+
+    def likeness(order):
+        sets = [set(zip(w := texts[i][1].split(), w[1:])) for i in order]
+        return np.mean([texts[a][0] == texts[b][0] for a, b in zip(order, order[1:])]), np.mean([len(x & y) / len(x | y) for x, y in zip(sets, sets[1:])])
+
+    (same, shared), (same_random, shared_random) = likeness(got), likeness(rng.sample(range(500), 500))
+    assert same > same_random + 0.15 and shared > 3 * shared_random
