@@ -17,7 +17,7 @@ LEAST_LANGUAGE_SCORE = 0.5
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose language is recognised. Rejected: null or letterless texts, and those with a posterior below LEAST_LANGUAGE_SCORE. lang stays as it was."""
+    """Rows whose language is recognised, repeated ones alike, and with any id. Rejected: null or letterless texts, and those with a posterior below LEAST_LANGUAGE_SCORE. lang stays as it was."""
     return langid.recognised(docs, langid.fit(docs), LEAST_LANGUAGE_SCORE).select(*DOCUMENT_COLUMNS)
 
 
@@ -27,17 +27,17 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, with secrets in their text replaced and n_chars counted anew."""
+    """All rows, with secrets in their text replaced and n_chars counted anew. Null texts stay null, empty ones empty; repeated rows and ids alike; an empty table gives none. Of other columns only those of documents stay."""
     return secret_scan.redact(docs).select(*DOCUMENT_COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows repeated so that each source has the same expected share, in random order."""
+    """Rows repeated so that each source has the same expected share, in random order. A null source is one of its own, a null id counts as empty text, repeated rows are drawn alike; an empty table gives no rows. Only the columns of documents stay."""
     return mixing.poisson_mix(docs).select(*DOCUMENT_COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of at most 4,096 tokens, similar texts together."""
+    """Pieces of sequences of at most 4,096 tokens, similar texts together. Null texts are empty and give the end id alone; rows with a repeated or null id are packed each on its own; an empty table gives no rows."""
     return pack(docs)
 
 
@@ -49,7 +49,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: SQL expresses neither the language model nor the tokenizer; tests compare the stages with brute force.
+#: SQL expresses neither the language model nor the tokenizer. The tests of the operators hold these against brute force, those of the pipeline what its stages keep, change and repeat.
 ORACLE_SQL = None
 
 
