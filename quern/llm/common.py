@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -35,7 +37,14 @@ def alone(cache: dict) -> None:
     for other in _CACHES:
         if other and other is not cache:
             other.clear()
-            pa.default_memory_pool().release_unused()
+            give_back()
+
+
+def give_back() -> None:
+    """Returns what a task has freed to the system, where the C library can: idle workers otherwise keep it while later stages run."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix, pieces_for, slices, word_hashes
+from .common import cut, give_back, mix, pieces_for, slices, word_hashes
 from .components import connected_components
 
 WORDS, PERCENT = 5, 75
@@ -103,6 +103,8 @@ def document_sets(docs: DataFrame, words: int = WORDS, beside: tuple[str, ...] =
                     held, size = [], 0
         if held:
             yield often(held)
+        held.clear()
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long"), "text", *beside).mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
@@ -178,6 +180,8 @@ def _entries(docs: DataFrame, words: int, parts: int, known: Sets, most: int = 1
                     held, size = [], 0
         if held:
             yield from flush(held)
+        held.clear()
+        give_back()
 
     return docs.select("text").mapInArrow(run, _BLOCK)
 
