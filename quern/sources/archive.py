@@ -10,6 +10,7 @@ A group belongs to the range in which the block before it begins, so ranges fit
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import json
 from collections.abc import Iterator
@@ -119,31 +120,49 @@ def _sound(data, at: int, end: int) -> bool:
     return start[:2] == b"\x12\x20" or start[:1] == b"\x01" and start[2:] == b"\x12\x20"
 
 
-def resume(data, at: int, end: int) -> int | None:
-    """The next place within SEARCH bytes where a section could start. One that the end or a sound section follows is believed before others,
-    as the tail of a damaged size and a sound one together can look like a size too."""
-    weak = None
-    for place in range(at, min(end, at + SEARCH)):
-        if (after := _head(data, place, end)) is None:
-            continue
-        if after == end or _sound(data, after, end):
-            return place
-        weak = place if weak is None else weak
-    return weak
+def _verified(data, at: int, end: int) -> bool:
+    """Whether the section that starts here agrees with its SHA-256 content id."""
+    if not _sound(data, at, end):
+        return False
+    _, body = varint_decode(data[at : at + 10])
+    after, cid = _head(data, at, end), at + body + (2 if data[at + body] else 0)
+    return after >= cid + 34 and hashlib.sha256(data[cid + 34 : after]).digest() == data[cid + 2 : cid + 34]
 
 
-def first_sound(data, at: int, end: int) -> int | None:
-    """The first place from `at` on where a section with a SHA-256 content id starts that another one or the end follows. Found by the content id's fixed bytes, so a section of any size is skipped fast."""
+def _starts(data, at: int, upto: int, end: int) -> Iterator[int]:
+    """Places from `at` on of sections with a SHA-256 content id, by the id's fixed bytes before `upto`; of those with the same id the one with the shortest size comes first."""
     mark = at
-    while (mark := data.find(b"\x12\x20", mark, end)) >= 0:
+    while (mark := data.find(b"\x12\x20", mark, upto)) >= 0:
         for body in (mark, mark - 2):
             for width in range(1, 6):
                 place = body - width
                 if place >= at and _sound(data, place, end) and varint_decode(data[place : place + 10])[1] == width:
-                    after = _head(data, place, end)
-                    if after == end or _sound(data, after, end):
-                        return place
+                    yield place
         mark += 1
+
+
+def resume(data, at: int, end: int) -> int | None:
+    """The next place within SEARCH bytes where a section could start. The tail of a damaged size and a sound one together can look like a size too, and end at a sound section by chance;
+    so the first section that agrees with its content id is certain, and before it only places are believed whose section ends there or at a sound one in between.
+    Without a certain one, a place that the end or a sound section follows is believed before others."""
+    upto = min(end, at + SEARCH)
+    sure = next((p for p in _starts(data, at, min(end, upto + 8), end) if p < upto and _verified(data, p, end)), None)
+    weak = None
+    for place in range(at, upto if sure is None else sure):
+        if (after := _head(data, place, end)) is None or sure is not None and after > sure:
+            continue
+        if after in (end, sure) or _sound(data, after, end):
+            return place
+        weak = place if weak is None else weak
+    return weak if sure is None else sure
+
+
+def first_sound(data, at: int, end: int) -> int | None:
+    """The first place from `at` on where a section with a SHA-256 content id starts that it agrees with, or that another one or the end follows. Found by the content id's fixed bytes, so a section of any size is skipped fast."""
+    for place in _starts(data, at, end, end):
+        after = _head(data, place, end)
+        if after == end or _sound(data, after, end) or _verified(data, place, end):
+            return place
     return None
 
 
@@ -446,8 +465,6 @@ def read_archives(spark: SparkSession, path: str, kinds: list[int] | None = None
 
 
 def node_id(payload: bytes) -> bytes:
-    import hashlib
-
     return b"\x01\x71\x12\x20" + hashlib.sha256(payload).digest()
 
 
