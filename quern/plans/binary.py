@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import os
+import shutil
 import struct
 import tempfile
+import uuid
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -270,23 +275,28 @@ def log_stack_quirks(spark, d):
 # ---------------------------------------------------------------- transactions
 
 
+@lru_cache(1 << 16)
 def _key(tag: str, n: int) -> bytes:
     return hashlib.sha256(f"{tag}{n}".encode()).digest()
 
 
+def _bytes_of(k: int, c: int, p: float) -> tuple[bytes, bytes | None]:
+    """Transaction and metadata of an order."""
+    static = [_key("C", c), _key("P", k % 7), _key("X", k % 3)]
+    body = struct.pack("<Q", k)
+    odd = k % 2 == 1
+    tx = transactions.build_transaction([body * 8], static, [(1, [0, 2], body), (2, [0], b"")], 0 if odd else None, [(_key("T", 0), [1], [])] if odd else [])
+    if k % 11 == 0:
+        return tx, None
+    return tx, transactions.build_metadata(round(p), [p_ := round(p) * 10, 5, 7], [p_ - round(p), 5], [f"Program P{k % 7} invoke [1]"], [(0, [(3 if odd else 9, [0], body)])], None if k % 5 else b"\1\0\0\0", [(1, "M", "O", "1.5")], [(1, "M", "O", "2.5"), (2, "M", "", "3")], [_key("L", k % 4)] if odd else [])
+
+
 def _transaction_bytes(orders: DataFrame) -> DataFrame:
     """slot, block_time, tx_data, meta_data of orders: odd ones are of the versioned layout with one loaded key, even ones of the old one; each has two outer and one inner instruction."""
 
     def build(keys: pa.Array, customers: pa.Array, prices: pa.Array) -> pa.Array:
-        out = []
-        for k, c, p in zip(keys.to_pylist(), customers.to_pylist(), prices.to_pylist(), strict=True):
-            static = [_key("C", c), _key("P", k % 7), _key("X", k % 3)]
-            body = struct.pack("<Q", k)
-            odd = k % 2 == 1
-            tx = transactions.build_transaction([body * 8], static, [(1, [0, 2], body), (2, [0], b"")], 0 if odd else None, [(_key("T", 0), [1], [])] if odd else [])
-            meta = transactions.build_metadata(round(p), [p_ := round(p) * 10, 5, 7], [p_ - round(p), 5], [f"Program P{k % 7} invoke [1]"], [(0, [(3 if odd else 9, [0], body)])], None if k % 5 else b"\1\0\0\0", [(1, "M", "O", "1.5")], [(1, "M", "O", "2.5"), (2, "M", "", "3")], [_key("L", k % 4)] if odd else [])
-            out.append({"tx_data": tx, "meta_data": None if k % 11 == 0 else meta})
-        return pa.array(out, pa.struct([("tx_data", pa.binary()), ("meta_data", pa.binary())]))
+        tx, meta = zip(*map(_bytes_of, keys.to_pylist(), customers.to_pylist(), prices.to_pylist()), strict=True) if len(keys) else ((), ())
+        return pa.StructArray.from_arrays([pa.array(tx, pa.binary()), pa.array(meta, pa.binary())], ["tx_data", "meta_data"])
 
     made = F.arrow_udf(build, "tx_data binary, meta_data binary")
     return orders.select(F.col("o_orderkey").alias("slot"), F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("block_time"), made("o_orderkey", "o_custkey", "o_totalprice").alias("b")).select("slot", "block_time", "b.*")
@@ -330,42 +340,88 @@ def tx_program_filter(spark, d):
 # ---------------------------------------------------------------- archives
 
 
+#: Rows a part of an archive is written of, and the most parts.
+PART_ROWS, PARTS = 25_000, 2_000
+
+
 def _write_archive(spark, d, folder: str, damage: bool = False) -> str:
-    """Transactions of the orders in blocks of a hundred keys, one entry a block, metadata of every thirteenth in frames; epoch and subset at the end. Into one file, as a fixture."""
+    """Transactions of the orders in blocks of a hundred keys, one entry a block, metadata of every thirteenth in frames; epoch and subset at the end. With damage twelve wrong bytes follow every fifth block.
+    One file: ranges of blocks are written side by side, each by a task of its own, and then put into their places, side by side too. The driver sees a row a range."""
     os.makedirs(folder, exist_ok=True)
-    rows = _tx(spark, d).orderBy("slot").toLocalIterator()
+    block = F.expr("(o_orderkey - pmod(o_orderkey, 100)) div 100")
+    rows = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", block.alias("block"))
+    n = max(1, min(PARTS, rows.count() // PART_ROWS))
+    bounds = rows.select(F.percentile_approx("block", [k / n for k in range(1, n)], 20 * n)).first()[0] if n > 1 else []
+    n = len(bounds := sorted({*bounds})) + 1
+    part = F.arrow_udf(lambda c: pa.array(np.searchsorted(bounds, c.to_numpy(zero_copy_only=False)), pa.int32()), "int")
+    rows = rows.withColumn("part", part("block"))
+    before = dict.fromkeys(range(n), 0)
+    if damage:
+        counts = dict(rows.select("part", "block").distinct().groupBy("part").count().collect())
+        before = dict(enumerate(itertools.accumulate([counts.get(k, 0) for k in range(n)], initial=0)))
+    rows = rows.repartitionById(n, "part").sortWithinPartitions("part", "o_orderkey")
+
+    def write(batches):
+        names = ("part", "block", "o_orderkey", "o_custkey", "o_totalprice")
+        rows = itertools.chain.from_iterable(zip(*(b.column(c).to_pylist() for c in names), strict=True) for b in batches)
+        for part, own in itertools.groupby(rows, lambda r: r[0]):
+            path, first = f"{folder}/{part}-{uuid.uuid4().hex}.part", []
+            with open(path, "wb", 1 << 20) as f:
+                for k, (number, orders) in enumerate(itertools.groupby(own, lambda r: r[1]), before[part] + 1):
+                    sections, cid = _block_sections(number, [r[2:] for r in orders])
+                    f.write(sections + (b"\xff" * 12 if damage and k % 5 == 0 else b""))
+                    if len(first) < 3:
+                        first.append(cid)
+                size = f.tell()
+            yield pa.RecordBatch.from_pylist([{"part": part, "path": path, "size": size, "first": first, "last": number}], schema)
+
+    schema = pa.schema([("part", pa.int32()), ("path", pa.string()), ("size", pa.int64()), ("first", pa.list_(pa.binary())), ("last", pa.int64())])
+    parts = sorted(rows.mapInArrow(write, "part int, path string, size long, first array<binary>, last long").collect())
+    head = archive.archive([])
+    ends = list(itertools.accumulate([r["size"] for r in parts], initial=len(head)))
     path = f"{folder}/epoch-7.car"
+    subset = codecs.cbor_encode([archive.SUBSET, 0, parts[-1]["last"] if parts else 0, [codecs.Link(bytes(b)) for r in parts[:3] for b in r["first"]][:3]])
     with open(path, "wb") as f:
-        f.write(archive.archive([]))
-        block, blocks, n = None, [], 0
-
-        def put(node: list) -> bytes:
-            payload = codecs.cbor_encode(node)
-            f.write(archive.section(payload))
-            return archive.node_id(payload)
-
-        def close() -> None:
-            entry = put([archive.ENTRY, 1, b"\0" * 32, []])
-            blocks.append(put([archive.BLOCK, block, [[0, 0]], [codecs.Link(entry)], [max(block - 1, 0), 1_000_000 + block, None], codecs.Link(entry)]))
-            if damage and len(blocks) % 5 == 0:
-                f.write(b"\xff" * 12)
-
-        for r in rows:
-            if block is not None and r.slot // 100 != block:
-                close()
-                n = 0
-            block = r.slot // 100
-            first, rest = archive.split_frames(r.meta_data or b"", 64 if r.slot % 13 == 0 else 1 << 20)
-            for x in rest:
-                put(x)
-            put([archive.TRANSACTION, archive.frame(r.tx_data, checksum=codecs.crc64(r.tx_data)), first, r.slot, n])
-            n += 1
-        close()
-        subset = put([archive.SUBSET, 0, block, [codecs.Link(b) for b in blocks[:3]]])
-        put([archive.EPOCH, 7, [codecs.Link(subset)]])
+        f.write(head)
+        f.seek(ends[-1])
+        f.write(archive.section(subset) + archive.section(codecs.cbor_encode([archive.EPOCH, 7, [codecs.Link(archive.node_id(subset))]])))
+    if parts:
+        spark.sparkContext.parallelize([(r["path"], at) for r, at in zip(parts, ends, strict=False)], len(parts)).foreach(lambda x: _place(path, *x))
     return folder
 
 
+def _place(path: str, part: str, at: int) -> None:
+    """Puts a part of a file into its place, and takes it away; one that isn't there any more has been put there by an earlier attempt."""
+    try:
+        source = open(part, "rb")
+    except FileNotFoundError:
+        return
+    with source, open(path, "r+b") as f:
+        f.seek(at)
+        shutil.copyfileobj(source, f, 4 << 20)
+    os.remove(part)
+
+
+def _block_sections(number: int, orders: list[tuple[int, int, float]]) -> tuple[bytes, bytes]:
+    """Sections of the transactions of a block, its entry and itself; the block's content id."""
+    out = []
+
+    def put(node: list) -> bytes:
+        payload = codecs.cbor_encode(node)
+        out.append(archive.section(payload, cid := archive.node_id(payload)))
+        return cid
+
+    for n, (slot, customer, price) in enumerate(orders):
+        tx, meta = _bytes_of(slot, customer, price)
+        first, rest = archive.split_frames(meta or b"", 64 if slot % 13 == 0 else 1 << 20)
+        for x in rest:
+            put(x)
+        put([archive.TRANSACTION, archive.frame(tx, checksum=codecs.crc64(tx)), first, slot, n])
+    entry = put([archive.ENTRY, 1, b"\0" * 32, []])
+    cid = put([archive.BLOCK, number, [[0, 0]], [codecs.Link(entry)], [max(number - 1, 0), 1_000_000 + number, None], codecs.Link(entry)])
+    return b"".join(out), cid
+
+
 _TX_ROWS = "SELECT o_orderkey AS slot, o_orderkey // 100 AS group_slot, 1000000 + o_orderkey // 100 AS block_time, CASE WHEN o_orderkey % 11 <> 0 THEN round_even(o_totalprice, 0)::BIGINT END AS fee FROM orders"
 
 
@@ -387,7 +443,7 @@ def car_scan(spark, d):
 
 @register("SELECT kind, n FROM (VALUES (0::BIGINT, (SELECT count(*) FROM orders)), (1::BIGINT, (SELECT count(DISTINCT o_orderkey // 100) FROM orders)), (2::BIGINT, (SELECT count(DISTINCT o_orderkey // 100) FROM orders)), (3::BIGINT, 1::BIGINT), (4::BIGINT, 1::BIGINT)) t(kind, n)")
 def car_nodes(spark, d):
-    nodes = archive.read_archives(spark, _write_archive(spark, d, _local(spark, "car-")), splitBytes="262144")
+    nodes = archive.read_archives(spark, _write_archive(spark, d, _local(spark, "car-")), columns=["file", "kind", "slot", "pos"], numbered=False, splitBytes="262144")
     return archive.inspect(nodes.where("kind <> 6")).groupBy(F.col("kind").cast("long").alias("kind")).agg(F.sum("nodes").alias("n"))
 
 

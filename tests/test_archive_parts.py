@@ -1,6 +1,11 @@
 import hashlib
+import itertools
+import os
+
+import pytest
 
 from quern.functions import codecs
+from quern.plans import binary
 from quern.sources import archive
 
 
@@ -44,3 +49,27 @@ def test_a_range_starts_at_a_block_that_damage_follows(tmp_path):
     (path := tmp_path / "a.car").write_bytes(data)
     for cut in range(1, len(data)):
         assert _read(path, data, cut) == [s * 10 + k for s in range(1, 6) for k in (0, 1)], cut
+
+
+def test_parts_written_side_by_side_are_the_archive_in_order(spark, sf_dir, tmp_path, monkeypatch):
+    """Many tasks write parts of one file: the same bytes as block after block, damage after every fifth block of the whole, and no part is left."""
+    monkeypatch.setattr(binary, "PART_ROWS", 100)
+    rows = sorted((r.o_orderkey, r.o_custkey, r.o_totalprice) for r in spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_totalprice").collect())
+    whole, cids = archive.archive([]), []
+    for number, own in itertools.groupby(rows, lambda r: r[0] // 100):
+        sections, cid = binary._block_sections(number, list(own))
+        cids.append(cid)
+        whole += sections + (b"\xff" * 12 if len(cids) % 5 == 0 else b"")
+    subset = codecs.cbor_encode([archive.SUBSET, 0, rows[-1][0] // 100, [codecs.Link(c) for c in cids[:3]]])
+    whole += archive.section(subset) + archive.section(codecs.cbor_encode([archive.EPOCH, 7, [codecs.Link(archive.node_id(subset))]]))
+    folder = binary._write_archive(spark, sf_dir, str(tmp_path / "car"), damage=True)
+    assert len(cids) > 10 and os.listdir(folder) == ["epoch-7.car"] and (tmp_path / "car" / "epoch-7.car").read_bytes() == whole
+
+
+@pytest.mark.parametrize("name", ["car_nodes", "node_counters"])
+def test_nothing_is_counted_for_numbers_nobody_asks_for(spark, sf_dir, monkeypatch, name):
+    asked = []
+    read = archive.read_archives
+    monkeypatch.setattr(archive, "read_archives", lambda *a, **k: asked.append(k.get("numbered", True) and {"group_id", "pos"} & {*(k.get("columns") or (a[3] if len(a) > 3 else ["pos"]))}) or read(*a, **k))
+    binary.QUERIES[name](spark, sf_dir)
+    assert len(asked) == 1 and not asked[0]
