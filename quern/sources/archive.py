@@ -29,6 +29,8 @@ KINDS = ("transaction", "entry", "block", "subset", "epoch", "rewards", "frame")
 TRANSACTION, ENTRY, BLOCK, SUBSET, EPOCH, REWARDS, FRAME = range(7)
 # fixed values: largest header and section, and how far a reader looks for the next section after a damaged one
 HEADER_MOST, SECTION_MOST, SEARCH = 1024, 32 << 20, 1 << 20
+#: Bytes of a range by default, and how many ranges there are before smaller ones grow to that.
+SPLIT, RANGES = 128 << 20, 200
 SCHEMA = """file string, group_id long, pos long, cid binary, kind int, slot long, payload binary,
 tx_index long, tx_data binary, meta_data binary, meta_error string, num_hashes long, hash binary, links array<binary>,
 parent_slot long, block_time long, block_height long, first long, last long, epoch long,
@@ -391,7 +393,8 @@ def _count(r: Range, permissive: bool) -> tuple[int, int]:
 class ArchiveReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.paths = files.listed(options.get("path", ""), ".car")
-        self.target = max(256, int(options.get("splitbytes", 128 << 20)))
+        # small ranges grow where there would be very many: each is a task, and a row of the job that counts
+        self.target = max(256, int(options.get("splitbytes", SPLIT)), min(SPLIT, sum(n for _, n in self.paths) // RANGES))
         self.counts = options.get("counts", "false").lower() == "true"
         self.bases = json.loads(options["bases"]) if options.get("bases") else None
         self.want = Wanted(
@@ -409,6 +412,10 @@ class ArchiveReader(DataSourceReader):
     def partitions(self):
         return [r for p, n in self.paths for r in ranges(p, n, self.target, self.bases)] or [Range("", 0, 0)]
 
+    def __getstate__(self):
+        # what only planning needs isn't sent to each task
+        return self.__dict__ | {"paths": None, "bases": None}
+
     def read(self, partition):
         if not partition.path:
             return
@@ -439,7 +446,10 @@ class ArchiveSource(DataSource):
         return ", ".join(fields[c] for c in options["columns"].split(",")) if options.get("columns") else SCHEMA
 
     def reader(self, schema) -> ArchiveReader:
-        return ArchiveReader({k.lower(): v for k, v in self.options.items()})
+        options = {k.lower(): v for k, v in self.options.items()}
+        # Spark sends this object to each task, too
+        self.options = {k: v for k, v in options.items() if k != "bases"}
+        return ArchiveReader(options)
 
 
 def read_archives(spark: SparkSession, path: str, kinds: list[int] | None = None, columns: list[str] | None = None, keys: list[bytes] | None = None, numbered: bool = True, **options: str) -> DataFrame:
