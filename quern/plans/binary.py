@@ -449,7 +449,7 @@ def car_nodes(spark, d):
 
 @register("SELECT DISTINCT o_orderkey // 100 AS slot, greatest(o_orderkey // 100 - 1, 0) AS parent_slot FROM orders")
 def car_kind_pushdown(spark, d):
-    return archive.read_archives(spark, _write_archive(spark, d, _local(spark, "car-"))).where("kind = 2").select("slot", "parent_slot")
+    return archive.read_archives(spark, _write_archive(spark, d, _local(spark, "car-")), columns=["kind", "slot", "parent_slot"]).where("kind = 2").select("slot", "parent_slot")
 
 
 @register(_TX_ROWS)

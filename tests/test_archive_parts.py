@@ -1,6 +1,8 @@
 import hashlib
 import itertools
+import json
 import os
+import pickle
 
 import pytest
 
@@ -66,7 +68,19 @@ def test_parts_written_side_by_side_are_the_archive_in_order(spark, sf_dir, tmp_
     assert len(cids) > 10 and os.listdir(folder) == ["epoch-7.car"] and (tmp_path / "car" / "epoch-7.car").read_bytes() == whole
 
 
-@pytest.mark.parametrize("name", ["car_nodes", "node_counters"])
+def test_small_ranges_are_bounded_and_numbers_stay_with_the_planner(tmp_path):
+    with open(tmp_path / "epoch-9.car", "wb") as f:
+        f.truncate(4 << 30)
+    bases = {f"{tmp_path}/epoch-9.car:{r.start}": (1, 2) for r in archive.ArchiveReader({"path": str(tmp_path), "splitbytes": "262144"}).partitions()}
+    source = archive.ArchiveSource({"path": str(tmp_path), "splitBytes": "262144", "bases": json.dumps(bases)})
+    reader = source.reader(None)
+    parts = reader.partitions()
+    assert 150 <= len(parts) <= 201 and {p.base for p in parts} == {(1, 2)}
+    assert [p.start for p in parts[1:]] == [p.end for p in parts[:-1]] and (parts[0].start, parts[-1].end) == (0, 4 << 30)
+    assert len(pickle.dumps(reader)) + len(pickle.dumps(source)) < 3000
+
+
+@pytest.mark.parametrize("name", ["car_nodes", "car_kind_pushdown", "node_counters"])
 def test_nothing_is_counted_for_numbers_nobody_asks_for(spark, sf_dir, monkeypatch, name):
     asked = []
     read = archive.read_archives
