@@ -80,19 +80,21 @@ def build_transaction(signatures: list[bytes], keys: list[bytes], instructions:
 
 def _fields(data: bytes) -> Iterator[tuple[int, int, object]]:
     """(field, wire type, value) of a protobuf message."""
-    at = 0
-    while at < len(data):
-        tag, at = varint_decode(data, at)
+    at, end = 0, len(data)
+    while at < end:
+        tag, at = (data[at], at + 1) if data[at] < 0x80 else varint_decode(data, at)
         number, wire = tag >> 3, tag & 7
         if not number:
             raise Malformed("field 0")
-        if wire == 0:
+        if wire == 2:
+            n, at = (data[at], at + 1) if at < end and data[at] < 0x80 else varint_decode(data, at)
+            if at + n > end:
+                raise Malformed("transaction ends early")
+            value, at = data[at : at + n], at + n
+        elif wire == 0:
             value, at = varint_decode(data, at)
         elif wire in (1, 5):
             value, at = _bytes(data, at, 8 if wire == 1 else 4)
-        elif wire == 2:
-            n, at = varint_decode(data, at)
-            value, at = _bytes(data, at, n)
         else:
             raise Malformed("wire type")
         yield number, wire, value
@@ -276,7 +278,8 @@ def build_metadata(fee: int, pre: list[int], post: list[int], logs: list[str] |
 _IX = "array<struct<program:int,accounts:array<int>,data:binary>>"
 OUTER = f"struct<signatures:array<binary>,version:int,keys:array<binary>,instructions:{_IX},lookups:int>"
 _TOKEN = "array<struct<account_index:long,mint:string,owner:string,ui_amount:string>>"
-META = f"struct<err:string,fee:decimal(20,0),pre:array<decimal(20,0)>,post:array<decimal(20,0)>,inner:array<struct<index:int,instructions:{_IX}>>,logs:array<string>,pre_tokens:{_TOKEN},post_tokens:{_TOKEN},writable:array<binary>,readonly:array<binary>>"
+_META = {"err": "string", "fee": "decimal(20,0)", "pre": "array<decimal(20,0)>", "post": "array<decimal(20,0)>", "inner": f"array<struct<index:int,instructions:{_IX}>>", "logs": "array<string>", "pre_tokens": _TOKEN, "post_tokens": _TOKEN, "writable": "array<binary>", "readonly": "array<binary>"}
+META = f"struct<{','.join(f'{k}:{t}' for k, t in _META.items())}>"
 _PA_IX = pa.list_(pa.struct([("program", pa.int32()), ("accounts", pa.list_(pa.int32())), ("data", pa.binary())]))
 _PA_TOKEN = pa.list_(pa.struct([("account_index", pa.int64()), ("mint", pa.string()), ("owner", pa.string()), ("ui_amount", pa.string())]))
 _BIG = pa.decimal128(20, 0)
@@ -296,15 +299,15 @@ def decode_transaction(data: Column | str) -> Column:
     """struct of the transaction; null for bytes that aren't one."""
     kind = pa.struct([("signatures", pa.list_(pa.binary())), ("version", pa.int32()), ("keys", pa.list_(pa.binary())), ("instructions", _PA_IX), ("lookups", pa.int32())])
     one = _soft(parse_transaction)
-    names = [f.name for f in kind]
-    return F.arrow_udf(lambda c: pa.array([r and {k: r[k] for k in names} for r in map(one, c.to_pylist())], kind), OUTER)(data)
+    return F.arrow_udf(lambda c: pa.array(list(map(one, c.to_pylist())), kind), OUTER)(data)
 
 
-def decode_metadata(data: Column | str) -> Column:
-    """struct of the metadata; null for none and for bytes that can't be read."""
+def decode_metadata(data: Column | str, fields: tuple[str, ...] = tuple(_META)) -> Column:
+    """struct of the metadata, or of some of its fields; null for none and for bytes that can't be read. All bytes are read whatever the fields, of which each costs its way through Arrow."""
     kind = pa.struct([("err", pa.string()), ("fee", _BIG), ("pre", pa.list_(_BIG)), ("post", pa.list_(_BIG)), ("inner", pa.list_(pa.struct([("index", pa.int32()), ("instructions", _PA_IX)]))), ("logs", pa.list_(pa.string())), ("pre_tokens", _PA_TOKEN), ("post_tokens", _PA_TOKEN), ("writable", pa.list_(pa.binary())), ("readonly", pa.list_(pa.binary()))])
+    kind = pa.struct([kind.field(f) for f in fields])
     one = _soft(parse_metadata)
-    return F.arrow_udf(lambda c: pa.array(list(map(one, c.to_pylist())), kind), META)(data)
+    return F.arrow_udf(lambda c: pa.array(list(map(one, c.to_pylist())), kind), f"struct<{','.join(f'{k}:{_META[k]}' for k in fields)}>")(data)
 
 
 _REWARDS = "array<struct<account:string,lamports:long,post_balance:decimal(20,0),kind:int,commission:string>>"
@@ -409,7 +412,7 @@ def records(raw: DataFrame, targets: list[bytes] | None = None, strict_lookup: b
             parsed = list(map(_soft(parse_transaction), batch.column("tx_data").to_pylist()))
             keep = [p is not None and (not wanted or strict_lookup or any(k in wanted for k in p["keys"])) for p in parsed]
             kind = pa.struct([("signatures", pa.list_(pa.binary())), ("version", pa.int32()), ("keys", pa.list_(pa.binary())), ("instructions", _PA_IX), ("lookups", pa.int32())])
-            rows = pa.array([{k: p[k] for k in ("signatures", "version", "keys", "instructions", "lookups")} for p, y in zip(parsed, keep, strict=True) if y], kind)
+            rows = pa.array([p for p, y in zip(parsed, keep, strict=True) if y], kind)
             some = batch.filter(pa.array(keep))
             yield pa.RecordBatch.from_arrays([*[some.column(c) for c in (*order, "slot", "block_time", "meta_data")], rows], [*order, "slot", "block_time", "meta_data", "tx"])
 

@@ -425,8 +425,11 @@ def _block_sections(number: int, orders: list[tuple[int, int, float]]) -> tuple[
 _TX_ROWS = "SELECT o_orderkey AS slot, o_orderkey // 100 AS group_slot, 1000000 + o_orderkey // 100 AS block_time, CASE WHEN o_orderkey % 11 <> 0 THEN round_even(o_totalprice, 0)::BIGINT END AS fee FROM orders"
 
 
+_TX_COLUMNS = ["kind", "slot", "block_time", "meta_data"]
+
+
 def _tx_rows(nodes: DataFrame) -> DataFrame:
-    tx = nodes.where("kind = 0").select("slot", F.col("block_time"), transactions.decode_metadata("meta_data").alias("m"))
+    tx = nodes.where("kind = 0").select("slot", F.col("block_time"), transactions.decode_metadata("meta_data", ("fee",)).alias("m"))
     return tx.select("slot", (F.col("block_time") - 1_000_000).alias("group_slot"), "block_time", F.col("m.fee").cast("long").alias("fee"))
 
 
@@ -438,7 +441,7 @@ def _local(spark, name: str) -> str:
 
 @register(_TX_ROWS)
 def car_scan(spark, d):
-    return _tx_rows(archive.read_archives(spark, _write_archive(spark, d, _local(spark, "car-")), splitBytes="262144"))
+    return _tx_rows(archive.read_archives(spark, _write_archive(spark, d, _local(spark, "car-")), columns=_TX_COLUMNS, splitBytes="262144"))
 
 
 @register("SELECT kind, n FROM (VALUES (0::BIGINT, (SELECT count(*) FROM orders)), (1::BIGINT, (SELECT count(DISTINCT o_orderkey // 100) FROM orders)), (2::BIGINT, (SELECT count(DISTINCT o_orderkey // 100) FROM orders)), (3::BIGINT, 1::BIGINT), (4::BIGINT, 1::BIGINT)) t(kind, n)")
@@ -454,7 +457,7 @@ def car_kind_pushdown(spark, d):
 
 @register(_TX_ROWS)
 def car_recover(spark, d):
-    return _tx_rows(archive.read_archives(spark, _write_archive(spark, d, _local(spark, "car-"), damage=True), kinds=[0, 2, 6]))
+    return _tx_rows(archive.read_archives(spark, _write_archive(spark, d, _local(spark, "car-"), damage=True), kinds=[0, 2, 6], columns=_TX_COLUMNS))
 
 
 @register("SELECT doc_id, greatest((strlen(text) + 499) // 500, 1) AS n, md5(text) AS text_md5 FROM documents")

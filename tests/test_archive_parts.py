@@ -80,7 +80,7 @@ def test_small_ranges_are_bounded_and_numbers_stay_with_the_planner(tmp_path):
     assert len(pickle.dumps(reader)) + len(pickle.dumps(source)) < 3000
 
 
-@pytest.mark.parametrize("name", ["car_nodes", "car_kind_pushdown", "node_counters"])
+@pytest.mark.parametrize("name", ["car_scan", "car_nodes", "car_kind_pushdown", "car_recover", "node_counters"])
 def test_nothing_is_counted_for_numbers_nobody_asks_for(spark, sf_dir, monkeypatch, name):
     asked = []
     read = archive.read_archives
