@@ -290,7 +290,8 @@ class Wanted:
 def _row(place: tuple, s: Section, kind: int | None, n: dict, resolve: dict, block_time: int | None, want: Wanted) -> dict:
     path, group, pos = place
     row = {"file": path, "group_id": group, "pos": pos, "cid": s.cid, "kind": kind, "slot": _signed(n.get("slot")), "payload": s.payload, "num_hashes": _signed(n.get("num_hashes")), "links": [bytes(x) for x in n.get("links", n.get("next", []))], "block_time": block_time}
-    row |= {k: _signed(n.get(k)) for k in ("parent_slot", "block_height", "first", "last", "epoch")}
+    if kind != TRANSACTION:
+        row |= {k: _signed(n.get(k)) for k in ("parent_slot", "block_height", "first", "last", "epoch")}
     if kind == TRANSACTION:
         row |= {"tx_index": _signed(n["index"]), "tx_data": n["data"]["data"]}
         if want.frames:
@@ -521,7 +522,7 @@ def counters(nodes: DataFrame) -> DataFrame:
 
     tx, reward = F.col("kind") == TRANSACTION, F.col("kind") == REWARDS
     some = F.col("meta_data").isNotNull()
-    meta = transactions.decode_metadata(F.when(tx, F.col("meta_data")))
+    meta = transactions.decode_metadata(F.when(tx, F.col("meta_data")), ("fee",))
     ok = F.when(tx, transactions.decode_transaction(F.when(tx, F.col("tx_data"))).isNotNull() & F.col("meta_error").isNull() & (~some | meta.isNotNull())).when(reward, F.col("meta_error").isNull() & (~some | transactions.decode_rewards(F.when(reward, F.col("meta_data"))).isNotNull()))
     return nodes.withColumn("_ok", ok).groupBy("kind").agg(F.count("*").alias("nodes"), F.count_if(F.col("_ok")).alias("decode_ok"), F.count_if(~F.col("_ok")).alias("decode_errors"))
 
